@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from .common import arrow, blobs, dropped, staged
 
 LENGTH, GRAM, PIECE = 200, 24, 1 << 19
-#: Different contexts of one anchor that one task compares; more are compared by window.
-MOST_CONTEXTS = 256
-BATCH_BYTES = 4 << 20
+#: Different contexts of one anchor that one task compares (2 to 3 MB of them); more are compared by
+#: window.
+MOST_CONTEXTS = 8192
+BATCH_BYTES = 3 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -312,7 +313,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     text, which tells rows of equal doc_id apart."""
     spark = docs.sparkSession
     rows = _rows(docs)
-    often = _contexts(rows, length, gram, True).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # Written out, so that the join below has a plain exchange on both sides, whose hot keys AQE splits.
+    often = staged(_contexts(rows, length, gram, True).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
     found = staged(_contexts(rows, length, gram, False).join(often, "key"), "contexts")
     kinds = staged(found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s", "n")).alias("r")), "kinds")
     several = staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
@@ -338,7 +340,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     verdict = staged(spans.select("key", "ctx", F.explode("spans").alias("q")).select("key", "ctx", "q.a", "q.b"), "verdict")
     placed = found.join(verdict, ["key", "ctx"]).select("doc_id", "th", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("q"))
     out = staged(placed.groupBy("doc_id", "th").agg(F.collect_set("q").alias("spans")), "spans")
-    for x in (found, kinds, several, fetched, verdict):
+    for x in (often, found, kinds, several, fetched, verdict):
         dropped(x)
     return out
 
