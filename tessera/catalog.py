@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .registry import base, decisions, models, retrieval, similarity, tables, texts  # noqa: F401  (registering is an import's work)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to macro F0.5: word retrieval within a language, the five best of each, scored
+    against records of equal text."""
+    return retrieval.retrieval_f05(spark, sf_dir)
