@@ -148,10 +148,18 @@ def joined_name(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), rf"(?U)\b({JOINED_WITHOUT})\b", " "), r"(?U)\s+", "")
 
 
+def char_pieces(c: Column, n: int) -> Column:
+    """The pieces of n letters as an array; a shorter text is its own piece. The letters are bound
+    to a name first: an expression inside a lambda is evaluated anew for every element, and a
+    substring is searched from the start of the text."""
+    letters = F.array(F.split(c, ""))
+    cut = lambda ch: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ch, i, n), ""))
+    return F.element_at(F.transform(letters, cut), 1)
+
+
 def char_trigrams(c: str | Column) -> Column:
     """Three-letter pieces parted by spaces; a shorter text is its own piece."""
-    s = col(c)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))), " ")
+    return F.array_join(char_pieces(col(c), 3), " ")
 
 
 def numbers(c: str | Column) -> Column:

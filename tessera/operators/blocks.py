@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scripts, text
+from ..storage import staged
 from .tfidf import Block, char_grams, top_k, union_blocks, word_pairs
 
 #: How each block retrieves.
@@ -60,6 +61,7 @@ def is_source(n: int):
 def retrieve(prepared: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """(country, s1_id, cand_id, s_*, r_*, n_blocks): pairs of source-1 records with records of the
     other sources that any of the named blocks found. Records without a country ask for nothing."""
+    prepared = staged(prepared, "views")  # six blocks read it
     queries = prepared.where(is_source(1) & F.col("country").isNotNull())
     pool = prepared.where(~is_source(1))
     found = {b.name: top_k(queries, pool, b) for b in BLOCKS if names is None or b.name in names}

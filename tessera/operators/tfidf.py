@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import char_pieces
+
 #: Digits that scores are rounded to before they are ranked.
 DIGITS = 6
 
@@ -28,16 +30,20 @@ def words(c: Column) -> Column:
 
 def word_pairs(c: Column) -> Column:
     """Terms and pairs of neighbouring terms."""
-    w = words(c)
-    two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    return F.when(F.size(w) > 1, F.concat(w, two)).otherwise(w)
+
+    def both(w: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.when(F.size(w) > 1, F.concat(w, two)).otherwise(w)
+
+    # Bound to a name: else the text would be split anew for every pair.
+    return F.element_at(F.transform(F.array(words(c)), both), 1)
 
 
 def char_grams(n: int) -> Callable[[Column], Column]:
     """Pieces of n letters; none of a shorter text."""
 
     def grams(c: Column) -> Column:
-        return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.char_length(c) >= n, char_pieces(c, n)).otherwise(F.array().cast("array<string>"))
 
     return grams
 
