@@ -21,21 +21,31 @@ from pyspark.sql.types import DoubleType
 from .text import blank, col
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return 0
+def letter_bits(b: str) -> dict[str, int]:
+    """Where each letter stands in a text, as bits."""
     where: dict[str, int] = {}
     for i, ch in enumerate(b):
         where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    row = full
+    return where
+
+
+def lcs_bits(where: dict[str, int], n: int, a: str) -> int:
+    """LCS of a text with one of n letters whose bits are given."""
+    full = row = (1 << n) - 1
+    get = where.get
     for ch in a:
-        hit = row & where.get(ch, 0)
-        row = (row + hit | row - hit) & full
-    return len(b) - row.bit_count()
+        m = get(ch)
+        if m:
+            hit = row & m
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    if len(a) < len(b):
+        a, b = b, a
+    return lcs_bits(letter_bits(b), len(b), a) if b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -45,24 +55,27 @@ def ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with the windows of the longer one; windows that hang over
-    either end count too. Texts of equal length are tried both ways round."""
+    either end count too. Texts of equal length are tried both ways round. Windows that could not
+    beat the best so far, by their length, are skipped."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     if len(a) > len(b):
         a, b = b, a
     if a in b:
         return 1.0
-    both = ((a, b), (b, a)) if len(a) == len(b) else ((a, b),)
     best = 0.0
-    for short, long in both:
-        n, letters = len(short), set(short)
-        for i in range(1 - n, len(long)):
-            s, e = max(0, i), min(len(long), i + n)
-            # A best window ends, or at the far end of the text starts, with a shared letter.
-            if (long[e - 1] if i + n <= len(long) else long[s]) in letters:
-                best = max(best, ratio(short, long[s:e]))
-                if best == 1.0:
-                    return best
+    for short, long in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
+        n, where = len(short), letter_bits(short)
+        for i in range(len(long) - n + 1):
+            # A best window ends with a shared letter.
+            if long[i + n - 1] in where:
+                best = max(best, lcs_bits(where, n, long[i : i + n]) / n)
+        for k in range(n - 1, 0, -1):
+            if 2 * k / (n + k) <= best:
+                break
+            for part, last in ((long[:k], long[k - 1]), (long[-k:], long[-k])):
+                if last in where:
+                    best = max(best, 2 * lcs_bits(where, n, part) / (n + k))
     return best
 
 
