@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow, blobs, fold, share
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 #: Rows with a label that a fit may gather: bounds the driver's memory, not what is scored.
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 UNKNOWN = "und"
 AMBIGUOUS = 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -93,7 +93,9 @@ def train(texts: list[bytes], langs: list[str], steps: int = 150, rate: float =
         return Model([], code, np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1]))
     rows = [(t, y) for t, y in zip(texts, langs, strict=True)]
     rows += [(t[: 24 + 8 * (i % 8)], y) for i, (t, y) in enumerate(rows) if len(t) > 100]
-    x = np.vstack([profile(t) for t, _ in rows]).astype(np.float32)
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for i, (t, _) in enumerate(rows):
+        x[i] = profile(t)
     target = np.array([names.index(y) for _, y in rows])
     each = np.bincount(target, minlength=len(names))
     weight = (1.0 / each[target] / len(names)).astype(np.float32)[:, None]
