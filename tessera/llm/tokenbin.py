@@ -25,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow, blobs, new_path
+from .tokcount import END, byte_letters
 
 MAGIC = b"TOKP"
 HEAD = struct.Struct("<4sIIIQQQ")
 FOOT = struct.Struct("<QQ4s")
 BLOCK = 1 << 16
-REMEMBERED = 600_000
+#: Chunks that a worker remembers before it forgets all, and letters of the longest of them.
+REMEMBERED, SHORT = 600_000, 11
 
 
 def bits_for(vocabulary: int) -> int:
@@ -80,11 +83,15 @@ class Writer:
         self.sink.write(HEAD.pack(MAGIC, 1, bits, block, 0, 0, 0))
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        self.extend([doc_id], ids, np.array([len(ids)]))
+
+    def extend(self, doc_ids: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents one after the other: their ids in one array, and how many each has."""
         if len(ids) and int(ids.max()) >> self.bits:
             raise ValueError(f"an id does not fit in {self.bits} bits")
-        self.docs.append(doc_id)
+        self.docs += doc_ids
+        self.ends += (self.ids + np.cumsum(counts)).tolist()
         self.ids += len(ids)
-        self.ends.append(self.ids)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= self.block:
@@ -142,7 +149,7 @@ class Reader:
             out.append(unpack(part, min(self.block, self.n_ids - k * self.block), self.bits))
         return np.concatenate(out)[start - first * self.block : end - first * self.block]
 
-    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self, most: int = 1 << 23) -> Iterator[tuple[int, np.ndarray]]:
         """(place, ids) of each document in order; reads about `most` ids at a time."""
         k = 0
         while k < len(self.ends):
@@ -157,76 +164,118 @@ class Reader:
 
 class Encoder:
     """Encodes whole texts. Chunks between plain spaces and line ends are encoded once for each
-    distinct chunk: the tokenizer's own splitting never crosses white space. Chunks of Latin
-    letters alone are one pre-token each, so they are encoded many at a time and parted again after
-    each id that ends a word; should the count of parts ever differ, they are encoded singly."""
+    distinct chunk: the tokenizer's own splitting never crosses white space. Chunks of Latin letters
+    alone are one pre-token each, which the normalizer only makes lower-case; so they go straight to
+    the model, many at a time, and are parted again after each id that ends a word. Should the count
+    of parts ever differ, they are encoded singly by the whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.final = np.zeros(max(vocab.values()) + 1, bool)
-        self.final[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+        self.final[[i for piece, i in vocab.items() if piece.endswith(END)]] = True
+        self.model = None
+        if self.final.any():
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        known, plain, other, tailed = self.known, [], [], []
+    def _plain(self, c: str) -> bool:
+        return self.model is not None and c.isalpha() and (c.isascii() or max(c) < "\u0130")
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known yet."""
+        out: dict[str, bytes] = {"": b""}
+        plain, other, tailed = [], [], []
         for c in new:
-            if c.isalpha() and max(c) < "\u0130":
-                plain.append(c)
-                continue
             body = c.rstrip(_SIGNS)
             # Signs after letters are a pre-token of their own, whatever comes before them.
-            if body and body.isalpha() and max(body) < "\u0130":
-                tailed.append((c, body, c[len(body) :]))
-            else:
+            if not body or not self._plain(body):
                 other.append(c)
-        for parts, room in (([b for _, b, _ in tailed], plain), ([t for _, _, t in tailed], other)):
-            room += [x for x in dict.fromkeys(parts) if x not in known]
-        plain, other = list(dict.fromkeys(plain)), list(dict.fromkeys(other))
+            elif c.islower() and len(body) == len(c):
+                plain.append(c)
+            else:
+                tailed.append((c, body.lower(), c[len(body) :]))
+        parts = {b for _, b, _ in tailed} | {t for _, _, t in tailed}
+        out.update([(x, self.known[x]) for x in parts if x in self.known])
+        plain += [b for b in {b for _, b, _ in tailed}.difference(out, new)]
+        other += [t for t in {t for _, _, t in tailed}.difference(out, new)]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            text = " ".join(some)
+            if not text.isascii():
+                text = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
             if len(ends) != len(some):
                 other += some
                 continue
             data, start = ids.tobytes(), 0
             for c, end in zip(some, ends, strict=True):
-                known[c] = data[start:end]
+                out[c] = data[start:end]
                 start = end
         for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
+            out[c] = array("I", e.ids).tobytes()
         for c, body, tail in tailed:
-            known[c] = known[body] + known[tail]
+            out[c] = out[body] + out[tail]
+        return out
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has. Chunks are parted and
+        numbered in Arrow, so only distinct ones come to Python; short ones are remembered from
+        batch to batch, long ones seldom come again."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        parts = []
+        ready = []
         for t in texts:
             if t.isascii() and "<|" not in t:
                 t = t.lower()
-            parts.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        found = [[known.get(c) for c in p] for p in parts]
-        new = {c for p, f in zip(parts, found, strict=True) if None in f for c, x in zip(p, f, strict=True) if x is None}
-        if new:
-            self._learn(sorted(new))
-            found = [[known[c] if x is None else x for c, x in zip(p, f, strict=True)] if None in f else f for p, f in zip(parts, found, strict=True)]
-        return [np.frombuffer(b"".join(f), np.uint32) for f in found]
+            ready.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+        parts = pc.split_pattern(pa.array(ready, pa.large_string()), " ")
+        coded = parts.values.dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in words if w not in known]
+        learned = self._learn(new) if new else {}
+        data = [learned[w] if w in learned else known[w] for w in words]
+        known.update([(w, x) for w, x in learned.items() if len(w) <= SHORT])
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        every = np.frombuffer(b"".join(data), np.uint32)
+        first = np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        ids = every[np.repeat(first[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        upto = np.concatenate(([0], end))[parts.offsets.to_numpy()]
+        return ids, np.diff(upto)
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, n = self.encode(texts)
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
 
     def __call__(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary, loaded once for each worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def groups(sizes: list[int], most: int = 1 << 21) -> Iterator[slice]:
+def groups(sizes: list[int], most: int = 1 << 23) -> Iterator[slice]:
     """Slices of consecutive items of about `most` in all."""
     start = total = 0
     for i, n in enumerate(sizes):
@@ -244,6 +293,11 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def _files(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder (local, HDFS, S3, GCS) and the folder's path in it."""
+    return pafs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a:") else folder)
+
+
 def _file(folder: str, part: int) -> str:
     return f"{folder}/part-{part:06d}.tok"
 
@@ -255,27 +309,28 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
     Null texts count as empty; each document ends in end_id if one is given. Rows of equal doc_id
     follow each other, ordered by text; a null doc_id comes first and is stored as the least long."""
     bits = bits_for(max(vocabulary_size(tokenizer), (end_id or 0) + 1))
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = _files(folder)
         own = f"{root}/.attempt-{task.partitionId():06d}-{task.taskAttemptId()}"
         encode, writer = None, None
         for b in batches:
-            encode = encode or Encoder(tokenizer)
+            encode = encode or encoder(tokenizer)
             writer = writer or Writer(fs.open_output_stream(own), bits, block)
             ids, texts = b.column(0).to_pylist(), blobs(b.column(1))
             for part in groups([len(x) for x in texts]):
-                for d, x in zip(ids[part], encode.batch([t.decode("utf-8", "replace") for t in texts[part]]), strict=True):
-                    writer.add(-(2**63) if d is None else d, np.concatenate((x, tail)))
+                got, n = encode.encode([t.decode("utf-8", "replace") for t in texts[part]])
+                if end_id is not None:
+                    got, n = np.insert(got, np.cumsum(n), end_id), n + 1
+                writer.extend([-(2**63) if d is None else d for d in ids[part]], got, n)
         if writer:
             writer.close()
             writer.sink.close()
             fs.move(own, _file(root, task.partitionId()))
             yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.ids], pa.int64())], names=["part", "n_docs", "n_ids"])
 
-    fs, root = pafs.FileSystem.from_uri(folder)
+    fs, root = _files(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -292,7 +347,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
         at += r["n_ids"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = _files(folder)
         for b in batches:
             for part, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(_file(root, part)) as f:
