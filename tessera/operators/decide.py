@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_S1 = Window.partitionBy("s1_id")
+
+def _s1():
+    return Window.partitionBy("s1_id")
 
 
 def ranked(d: DataFrame, score: str = "prob", name: str = "block_rank") -> DataFrame:
     """d with the rank of a pair in its S1 by score; ties by candidate."""
-    return d.withColumn(name, F.row_number().over(_S1.orderBy(F.desc(score), "cand_id")))
+    return d.withColumn(name, F.row_number().over(_s1().orderBy(F.desc(score), "cand_id")))
 
 
 def cutoff(c: DataFrame, kind: str, value=None) -> DataFrame:
     """Candidates (block_score, block_rank) cut by all | topk | gap | min_score | topk_gap."""
-    best = F.max("block_score").over(_S1)
+    best = F.max("block_score").over(_s1())
     if kind == "all":
         return c
     if kind == "topk":
@@ -33,7 +35,7 @@ def cutoff(c: DataFrame, kind: str, value=None) -> DataFrame:
 def adaptive_cutoff(scored: DataFrame, min_keep: int, min_prob: float, relative: float, k_max: int) -> DataFrame:
     """The first min_keep of each S1, and of the first k_max those that are likely enough, also
     relative to the best."""
-    d = ranked(scored).withColumn("_best", F.max("prob").over(_S1))
+    d = ranked(scored).withColumn("_best", F.max("prob").over(_s1()))
     likely = (F.col("block_rank") <= k_max) & (F.col("prob") >= min_prob) & (F.col("prob") >= F.col("_best") * relative)
     return d.where((F.col("block_rank") <= min_keep) | likely).drop("_best")
 
@@ -46,7 +48,7 @@ def decide_first(scored: DataFrame, t: float, t1: float) -> DataFrame:
 def decide(scored: DataFrame, t: float | Column, t1: float, exclusive: bool = False) -> DataFrame:
     """prob of at least t, or the best of its S1 (several if they tie) and at least t1. If exclusive, a
     record goes to its best S1 alone, of equals to the smallest id."""
-    d = scored.withColumn("_best", F.max("prob").over(_S1))
+    d = scored.withColumn("_best", F.max("prob").over(_s1()))
     d = d.where((F.col("prob") >= t) | ((F.col("prob") == F.col("_best")) & (F.col("prob") >= t1))).drop("_best")
     if not exclusive:
         return d

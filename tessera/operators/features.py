@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scripts, text
 from ..functions.names import without_legal_words
 from ..functions.strings import agreement, similarity
+from ..storage import staged
 from .blocks import ADDR_WORDS, NAME_CHAR4, is_source
 from .tfidf import pair_cosine, top_k
 
@@ -141,7 +142,7 @@ def retrieve_pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
     for n in found:
         mine = F.col("view") == n
         agg += [F.max(F.when(mine, F.col("r"))).alias(f"{n}_rank"), F.max(mine.cast("int")).alias(f"in_{n}")]
-    pairs = rows.groupBy("country", "q_id", "p_id").agg(*agg)
+    pairs = staged(rows.groupBy("country", "q_id", "p_id").agg(*agg), "retrieved")
     for b in (NAME_CHAR4, ADDR_WORDS):
         pairs = pair_cosine(pairs, queries, pool, b).withColumnRenamed("cosine", f"{b.name}_cos")
     return pairs.withColumnsRenamed({"q_id": "s1_id", "p_id": "cand_id"})
@@ -198,7 +199,7 @@ def pair_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Data
         "_diff": similarity("ratio", qs, ps),
         "_city": similarity("ratio", "q_city", "p_city"),
     }
-    d = d.withColumns(sims | number_features() | house_features())
+    d = staged(d.withColumns(sims | number_features() | house_features()), "pairs")
     idf, unseen = name_idf(pool)
     for c in ("q_only", "p_only"):
         d = d.join(one_sided_idf(d, c, idf, unseen), ["s1_id", "cand_id"], "left").withColumn(f"{c}_idf", F.coalesce(f"{c}_idf", F.lit(0.0)))

@@ -146,11 +146,11 @@ def auc(scored: DataFrame, score: str, label: str, by: list[str] | None = None)
     """Area under the ROC curve by the rank sum, ties at half; over distinct scores, so equal ones
     are counted before they meet."""
     by = by or []
-    d = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    d = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
     key = by or [F.lit(0)]
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_won", F.col("p") * (below + F.col("n") / 2))
-    return d.groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("p") * F.sum("n")).alias("auc"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
+    return d.groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
 
 
 def threshold_grid(scored: DataFrame, truth: DataFrame, ts: list[float], t1s: list[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocks, decide, features, metrics, models
+from ..storage import staged
 from .normalize import normalize
 
 
@@ -44,10 +45,15 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return pairs.join(t, ["s1_id", "cand_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
-def pair_table(records: DataFrame, preset: Preset) -> DataFrame:
+def match_table(records: DataFrame) -> DataFrame:
+    """Matching fields of normalised records. Both tables are written out: several steps read them,
+    and their expressions would otherwise be nested into each other."""
+    return staged(features.prepare_match(staged(normalize(records), "normalized")), "match")
+
+
+def pair_table(records: DataFrame, preset: Preset, match: DataFrame | None = None) -> DataFrame:
     """All pairs that the preset retrieves, with its pair features."""
-    norm = normalize(records)
-    match = features.prepare_match(norm)
+    match = match if match is not None else match_table(records)
     q, p = match.where(blocks.is_source(1)), match.where(~blocks.is_source(1))
     pairs = features.retrieve_pairs(q, p)
     if preset.blocks:
@@ -64,13 +70,13 @@ def pair_table(records: DataFrame, preset: Preset) -> DataFrame:
 def link(records: DataFrame, truth: DataFrame, preset: Preset = PRESETS["v3"], rounds: int = 10) -> DataFrame:
     """Decided matches (country, s1_id, cand_id, prob): retrieve, prune with two half models, look at
     the candidates of an S1 together, score, decide. The truth is that of the S1 to learn from."""
-    pairs = labelled(pair_table(records, preset), truth)
+    match = match_table(records)
+    pairs = staged(labelled(pair_table(records, preset, match), truth), "labelled")
     cols = [f for f in preset.features if f in pairs.columns]
     learn = pairs.join(truth.select("s1_id"), "s1_id", "left_semi")
     pruners, _ = models.two_fold_pruner(learn, cols, rounds=rounds)
-    pruned = features.select_candidates(models.predict_mean(pruners, pairs, cols), preset.final_k, preset.least)
-    match = features.prepare_match(normalize(records))
-    listed = features.sibling_features(features.list_features(pruned), match)
+    pruned = staged(features.select_candidates(models.predict_mean(pruners, pairs, cols), preset.final_k, preset.least), "candidates")
+    listed = staged(features.sibling_features(features.list_features(pruned), match), "listed")
     final = [*cols, *features.LISTWISE, *features.SIBLING]
     model = models.fit_trees(listed.join(truth.select("s1_id"), "s1_id", "left_semi"), final, rounds=rounds)
     scored = models.predict(model, listed, final)
