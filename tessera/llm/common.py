@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,65 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..storage import delete, dropped, new_path, shared_folder, staged
 
+__all__ = ["arrow", "blobs", "delete", "dropped", "fold", "new_path", "runs", "share", "shared_folder", "spanning", "staged", "starts_of", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir). In local mode only, where one
-    machine is the whole cluster, an unset value is replaced by a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[|$)", master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _LOCAL[key]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, so a lost
-    executor costs a reread and nothing upstream is computed twice."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in bytes as well as rows (16 MB where the session has no
+    """mapInArrow with batches bounded in bytes as well as rows (8 MB where the session has no
     bound of its own), so that long texts cannot fill a worker."""
     conf = df.sparkSession.conf
     if int(conf.get(BATCH_BYTES, str(2**31 - 1))) >= 2**31 - 1:
-        conf.set(BATCH_BYTES, str(16 << 20))
+        conf.set(BATCH_BYTES, str(8 << 20))
     return df.mapInArrow(kernel, schema)
 
 

@@ -40,9 +40,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     out = moves[-1]
     for move in reversed(moves[:-1]):
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = move.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-    result = staged(out, "components")
-    for m in moves:
-        dropped(m)
+        fresh = staged(move.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "components")
+        dropped(out)
+        dropped(move)
+        out = fresh
     dropped(left)
-    return result
+    return out

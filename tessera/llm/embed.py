@@ -269,7 +269,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, interval: int = IN
     roots = connected_components(both.where("w = 0").select("u", "v"))
     named = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counts, "rep", "left")
     named = staged(named.select("v", "rep", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     by_vector = named.join(least, "root").select("v", "n_links", "component_id")
     out = members.join(by_vector, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -139,9 +139,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, seed: int = SEED, chunk:
     roots = connected_components(links)
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "named")
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written out: the join has a plain exchange on both sides, so AQE can split a large component.
+    lowest = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     by_fp = staged(named.join(lowest, "root").select("fp", "component_id"), "classes")
     dropped(named)
+    dropped(lowest)
     return members.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

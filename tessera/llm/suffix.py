@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import arrow, blobs, dropped, staged
 
 LENGTH, GRAM, PIECE = 200, 24, 1 << 19
-#: Different contexts of one anchor that one task compares (2 to 3 MB of them); more are compared by
+#: Different contexts of one anchor that one task compares (about 1.5 MB of them); more are compared by
 #: window.
-MOST_CONTEXTS = 8192
-BATCH_BYTES = 3 << 20
+MOST_CONTEXTS = 5000
+BATCH_BYTES = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -402,7 +402,8 @@ def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     stay, empty texts too."""
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_th", F.crc32(F.encode(text, "UTF-8")).cast("long"))
+    # The columns travel in a struct, whatever their names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("_th"))
     at = names.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +418,7 @@ def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
             columns[at] = pa.array(out, columns[at].type)
             yield pa.record_batch(columns, names=names)
 
-    done = arrow(_with_spans(docs, rows, length, **options).select(*[F.col(f"`{c}`") for c in names], "_spans"), kernel, docs.schema)
+    done = arrow(_with_spans(docs, rows, length, **options).select(*[F.col("_row")[f"c{i}"].alias(f"c{i}") for i in range(len(names))], "_spans"), kernel, docs.schema)
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind))).select(*names)
