@@ -39,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
