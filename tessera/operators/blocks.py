@@ -81,6 +81,7 @@ def sources(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def reverse_search(prepared: DataFrame, k: int = 10) -> DataFrame:
     """(country, rec_id, s1_id, score, rank, s_word, s_namenum): for each record of the other sources
     its k nearest source-1 records by the better of two blocks fitted on source 1."""
+    prepared = staged(prepared, "views")  # two blocks read it
     s1, pool = prepared.where(is_source(1)), prepared.where(~is_source(1))
     found = {}
     for name in REVERSE:

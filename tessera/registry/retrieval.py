@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import blocks, metrics, tfidf
 from ..operators.tfidf import Block
+from ..storage import staged
 from .base import RECORDS, query, r6, records, table, truth
 
 _PLAIN = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -136,7 +137,7 @@ UNION_BLOCKS = (WORD, NAMENUM, NOADDR)
 
 
 def union_pairs(spark, sf_dir):
-    q, p = split(prepared(spark, sf_dir))
+    q, p = split(staged(prepared(spark, sf_dir), "views"))
     return tfidf.union_blocks({b.name: tfidf.top_k(q, p, b) for b in UNION_BLOCKS}).withColumnsRenamed({"q_id": "s1_id", "p_id": "cand_id"})
 
 
