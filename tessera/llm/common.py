@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,20 @@ def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get(BATCH_BYTES, str(2**31 - 1))) >= 2**31 - 1:
         conf.set(BATCH_BYTES, str(8 << 20))
-    return df.mapInArrow(kernel, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers outlive their tasks, and an executor's
+    bound counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
