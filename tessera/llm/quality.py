@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are texts labelled good; the unlabelled set is web text as it comes, its labels
-unseen. The class prior is estimated from the two (best-bin estimate: the least ratio of upper-tail
+unseen. The class prior is estimated from the scores of all rows outside the held-out fold, counted
+in fixed bins, and of held-aside positives (best-bin estimate: the least ratio of upper-tail
 shares of unlabelled and held-aside positive scores), and a logistic scorer minimises the
 non-negative unbiased risk  prior * R+(p) + max(0, R-(u) - prior * R-(p)); whenever the second part
 turns negative, the step goes up on that part alone. Texts are described by byte-class shares,
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import arrow, blobs, fold, share
 #: Rows a fit may gather, for the positives and for the unlabelled texts each.
 FIT_ROWS = 3000
 THRESHOLD = 0.3
+#: Bins of unsquashed scores from -REACH to REACH, in which all unlabelled rows are counted.
+BINS, REACH = 4096, 32.0
 
 _CLASSES = np.full(256, 9, np.int64)  # 9: other symbols
 _CLASSES[[*b"abcdefghijklmnopqrstuvwxyz"]] = 0
@@ -119,8 +122,31 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, confidence: float = 1.0) -> flo
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
-def train(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 1e-3) -> Model:
-    """Fit on the features of positives and of unlabelled texts. Deterministic."""
+def bins(z: np.ndarray) -> np.ndarray:
+    """The bin of each unsquashed score."""
+    return np.clip((z + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64)
+
+
+#: Counts by bin of the unsquashed scores of all unlabelled rows, given (mean, scale, weight, bias).
+Counted = Callable[[np.ndarray, np.ndarray, np.ndarray, float], np.ndarray]
+
+
+def binned_prior(p: np.ndarray, counts: np.ndarray, confidence: float = 1.0) -> float:
+    """As estimate_prior, of unlabelled scores that are counted by bin; thresholds are edges of bins."""
+    total = int(counts.sum())
+    if not len(p) or not total:
+        return 0.5
+    mine = np.bincount(bins(p), minlength=BINS)
+    tail_p, tail_u = np.cumsum(mine[::-1])[::-1] / len(p), np.cumsum(counts[::-1])[::-1] / total
+    ok = np.flatnonzero(tail_p >= 0.1)
+    bound = (tail_u[ok] + confidence * (np.sqrt(0.5 / len(p)) + np.sqrt(0.5 / total))) / tail_p[ok]
+    best = ok[bound.argmin()]
+    return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
+
+
+def train(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 1e-3, counted: Counted | None = None) -> Model:
+    """Fit on the features of positives and of unlabelled texts. Deterministic. The prior is that
+    of all rows, if `counted` gives their scores, else that of half of u."""
     both = np.vstack([p, u])
     if not len(p) or not len(u):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
@@ -131,7 +157,7 @@ def train(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.05, ri
     half = np.arange(len(u)) % 2 == 0
     fit_u, ask_u = u[half], u[~half]
     w, b = _adam(p, lambda w, b: _grad(fit_p, -_sigmoid(-(fit_p @ w + b))) + _grad(fit_u, _sigmoid(fit_u @ w + b)) + ridge * np.append(w, 0), 200, rate)
-    prior = estimate_prior(ask_p @ w + b, ask_u @ w + b)
+    prior = binned_prior(ask_p @ w + b, counted(mean, scale, w, float(b))) if counted else estimate_prior(ask_p @ w + b, ask_u @ w + b)
 
     def gradient(w: np.ndarray, b: float) -> np.ndarray:
         zp, zu = p @ w + b, u @ w + b
@@ -154,9 +180,26 @@ def _describe(docs: DataFrame) -> DataFrame:
     return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("good").cast("boolean").alias("good"), F.col("text").cast("string").alias("text")), kernel, "doc_id long, good boolean, x array<double>")
 
 
+def count_scores(docs: DataFrame, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    """How many rows of docs (text) have a score in each bin."""
+    held = docs.sparkSession.sparkContext.broadcast((mean, scale, weight, bias))  # a few dozen numbers
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, scale, weight, bias = held.value
+        for b in batches:
+            x = np.array([features(t) for t in blobs(b.column(0))]).reshape(-1, FEATURES)
+            yield pa.record_batch([pa.array(bins(np.clip((x - mean) / scale, -8, 8) @ weight + bias))], names=["bin"])
+
+    out = np.zeros(BINS, np.int64)
+    for r in arrow(docs.select(F.col("text").cast("string").alias("text")), kernel, "bin long").groupBy("bin").count().collect():
+        out[r["bin"]] = r["count"]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = FIT_ROWS) -> Model:
     """Fit on docs (doc_id, text) and labels (doc_id, quality) whose crc32(doc_id) mod folds is not
-    0: about `most` positives and `most` texts taken as unlabelled, each chosen by a hash."""
+    0: about `most` positives and `most` texts taken as unlabelled, each chosen by a hash. The prior
+    is estimated from the scores of all rows of docs outside that fold."""
     seen = docs.where("doc_id is not null").where(fold("doc_id", folds) != 0)
     good = labels.where("quality = 1").where(fold("doc_id", folds) != 0).select("doc_id").distinct()
     n_good, n_all = good.count(), seen.count()
@@ -168,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = FIT_ROWS
     got = _describe(rows).toArrow().sort_by([("doc_id", "ascending"), ("good", "ascending")])
     x = np.array(got.column("x").to_pylist()).reshape(-1, FEATURES)
     mark = got.column("good").to_numpy(zero_copy_only=False).astype(bool)
-    return train(x[mark], x[~mark])
+    return train(x[mark], x[~mark], counted=lambda *scorer: count_scores(seen, *scorer))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
