@@ -18,11 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, blobs, fold, share
+from .common import arrow, blobs, fold
 
-BUCKETS = 1 << 12
-#: Rows with a label that a fit may gather: bounds the driver's memory, not what is scored.
-FIT_ROWS = 2500
+BUCKETS = 1 << 13
+#: Rows with a label that a fit may gather: bounds the driver's memory, not what is scored. A language
+#: has a share of LEAST_ROWS at least, however many languages there are.
+FIT_ROWS, LEAST_ROWS = 4000, 20
 UNKNOWN = "und"
 AMBIGUOUS = 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -113,12 +114,28 @@ def train(texts: list[bytes], langs: list[str], steps: int = 150, rate: float =
     return Model(names, code, w.astype(np.float32), b)
 
 
+def quota(counts: list[int], most: int) -> int:
+    """Rows of each language that a fit may take: languages with fewer are taken whole, and what
+    they leave goes to the others, up to `most` rows in all or LEAST_ROWS for each."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(share, LEAST_ROWS)
+        left -= n
+    return max(counts, default=0)
+
+
 def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
-    """Fit on labelled (doc_id, text, lang), at most about `most` rows chosen by a hash of the id."""
+    """Fit on labelled (doc_id, text, lang), at most about `most` rows chosen by a hash of id and
+    text. Every language is learned, rare ones from all their rows."""
     rows = labelled.where("text is not null and lang is not null")
-    n = rows.count()
-    if n > most:
-        rows = rows.where(share(F.col("doc_id"), 0.95 * most / n))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    each = quota(list(counts.values()), most)
+    large = {k: int(0.95 * each / n * 2**40) for k, n in counts.items() if n > each}
+    if large:
+        limit = F.create_map(*[F.lit(x) for kv in sorted(large.items()) for x in kv])[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(0)), F.lit(1 << 40)) < F.coalesce(limit, F.lit(1 << 40)))
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
     return train(blobs(found.column("text")), found.column("lang").to_pylist())
 
