@@ -10,34 +10,42 @@ from ..functions.strings import token_jaccard
 from .metrics import f05, pairs_of, per_record
 
 
+#: Reasons by the condition on a pair's features, the first that holds.
+MISSED = (
+    ("cross-script name", "p_nonlatin = 1"),
+    ("address missing", "p_addr_missing = 1 or q_addr_missing = 1"),
+    ("house number differs (2+ edits)", "house_tol = -1"),
+    ("house number 1 edit", "house_tol = 0.5"),
+    ("name very different (<0.6)", "name_ts < 0.6"),
+    ("address very different (<0.5)", "addr_ts < 0.5"),
+    ("name partly different", "name_ts < 0.85"),
+    ("name+address similar", "true"),
+)
+FALSE = (
+    ("cross-script name", "p_nonlatin = 1"),
+    ("near-identical record (label noise?)", "name_ts >= 0.95 and addr_ts >= 0.95 and house_tol >= 0"),
+    ("same address, different name", "addr_ts >= 0.85 and name_ts < 0.85"),
+    ("same name, other house number", "name_ts >= 0.9 and house_tol = -1"),
+    ("same name, house 1 edit", "name_ts >= 0.9 and house_tol = 0.5"),
+    ("same name, different address", "name_ts >= 0.9 and addr_ts < 0.7"),
+    ("address missing", "p_addr_missing = 1 or q_addr_missing = 1"),
+    ("other", "true"),
+)
+
+
+def first_reason(rules: tuple[tuple[str, str], ...]) -> Column:
+    """The label of the first rule (label, condition) that holds for a row."""
+    return F.coalesce(*[F.when(F.expr(condition), F.lit(label)) for label, condition in rules])
+
+
 def missed_reason() -> Column:
-    """Why a true pair is hard to find: the first reason that holds."""
-    c = F.col
-    return (
-        F.when(c("p_nonlatin") == 1, "cross-script name")
-        .when((c("p_addr_missing") == 1) | (c("q_addr_missing") == 1), "address missing")
-        .when(c("house_tol") == -1, "house number differs (2+ edits)")
-        .when(c("house_tol") == 0.5, "house number 1 edit")
-        .when(c("name_ts") < 0.6, "name very different (<0.6)")
-        .when(c("addr_ts") < 0.5, "address very different (<0.5)")
-        .when(c("name_ts") < 0.85, "name partly different")
-        .otherwise("name+address similar")
-    )
+    """Why a true pair is hard to find."""
+    return first_reason(MISSED)
 
 
 def false_reason() -> Column:
-    """Why a false pair looks true: the first reason that holds."""
-    c = F.col
-    return (
-        F.when(c("p_nonlatin") == 1, "cross-script name")
-        .when((c("name_ts") >= 0.95) & (c("addr_ts") >= 0.95) & (c("house_tol") >= 0), "near-identical record (label noise?)")
-        .when((c("addr_ts") >= 0.85) & (c("name_ts") < 0.85), "same address, different name")
-        .when((c("name_ts") >= 0.9) & (c("house_tol") == -1), "same name, other house number")
-        .when((c("name_ts") >= 0.9) & (c("house_tol") == 0.5), "same name, house 1 edit")
-        .when((c("name_ts") >= 0.9) & (c("addr_ts") < 0.7), "same name, different address")
-        .when((c("p_addr_missing") == 1) | (c("q_addr_missing") == 1), "address missing")
-        .otherwise("other")
-    )
+    """Why a false pair looks true."""
+    return first_reason(FALSE)
 
 
 def error_parts(pred: DataFrame, cands: DataFrame, retrieved: DataFrame, truth: DataFrame) -> DataFrame:

@@ -3,17 +3,17 @@ retrieval and matching read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import address, names, scripts, text
+from ..functions import address, names, scripts
 
 COLUMNS = ("entity_id", "country", "name_raw", "address_raw", "name_norm", "name_core", "legal_suffix", "name_latin", "addr_norm", "postcode", "city", "house_no", "script")
 
 
-def normalize(records: DataFrame, token_map: Column | None = None) -> DataFrame:
+def normalize(records: DataFrame, token_map: DataFrame | None = None) -> DataFrame:
     """records (entity_id, name, address[, country]) with the thirteen normalised columns, all
-    strings. token_map is a map column of learned Latin forms of Devanagari tokens."""
+    strings. token_map (tok, new) holds learned Latin forms of Devanagari tokens."""
     for c in ("entity_id", "name", "address"):
         if c not in records.columns:
             raise ValueError(f"column {c!r} is missing")
@@ -24,8 +24,11 @@ def normalize(records: DataFrame, token_map: Column | None = None) -> DataFrame:
     d = d.withColumns({"name_core": core, "legal_suffix": form})
     code, city, house = address.address_fields("address_raw", "country")
     d = d.withColumns({"postcode": code, "city": city, "house_no": house})
-    latin = F.when(F.col("script") == "devanagari", scripts.transliterate("name_core", token_map)).otherwise(scripts.latin_core("name_core", "script"))
-    return d.withColumn("name_latin", latin).select(*COLUMNS)
+    devanagari = F.col("script") == "devanagari"
+    d = d.withColumn("name_latin", F.when(devanagari, F.col("name_core")))
+    if token_map is not None:
+        d = scripts.with_known_tokens(d, "name_latin", token_map)
+    return d.withColumn("name_latin", F.when(devanagari, scripts.transliterate("name_latin")).otherwise(scripts.latin_core("name_core", "script"))).select(*COLUMNS)
 
 
 def learn_token_map(pairs: DataFrame, of: str, to: str, min_votes: int = 1, min_share: float = 0.6, differ: bool = False) -> DataFrame:
@@ -48,19 +51,3 @@ def devanagari_pairs(norm: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     a = norm.where("script = 'latin'").select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("latin_name"))
     b = norm.where("script = 'devanagari'").select(F.col("entity_id").alias("cand_id"), F.col("name_norm").alias("dev_name"))
     return truth_pairs.join(a, "s1_id").join(b, "cand_id").select("latin_name", "dev_name")
-
-
-def as_map(token_map: DataFrame, most: int = 200_000) -> Column:
-    """A learned map as a map column. It grows with the vocabulary of a script, not with the
-    records; more than `most` tokens are refused (use scripts.latinize, which joins)."""
-    rows = token_map.select("tok", "new").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("the token map is too large for a literal; join it instead")
-    if not rows:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for r in rows for x in r])
-
-
-def unicode_names(d: DataFrame, column: str) -> DataFrame:
-    """d with a column's text in NFKC, for sources that mix forms."""
-    return d.withColumn(column, text.unicode_form(F.col(column), "NFKC"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, names, scripts, text
 from ..operators import reports
-from ..plans.normalize import as_map, learn_token_map, normalize
+from ..plans.normalize import learn_token_map, normalize
 from .base import RECORDS, query, records, sql_values, table, values
 
 NAMES = [
@@ -182,18 +182,33 @@ def _find_sql(pattern: str, group: int = 1, c: str = "a") -> str:
     return f"nullif(regexp_extract({c}, '(?i){pattern}', {group}), '')"
 
 
-_P = {k: v.replace("'", "''") for k, v in address.POSTCODES.items()}
-
-
 def _real(x: str) -> str:
     return f"CASE WHEN {x} NOT LIKE '00%' THEN {x} END"
 
 
-POSTCODE_SQL = f"""CASE k WHEN 'india' THEN coalesce({_find_sql(_P["india_label"])}, {_find_sql(_P["india_part"])}, {_find_sql(_P["india_end"])})
- WHEN 'us' THEN coalesce({_find_sql(_P["us_label"])}, CASE WHEN lower({_find_sql(_P["us_end"])}) <> 'fl' THEN {_find_sql(_P["us_end"], 2)} END)
- WHEN 'france' THEN coalesce({_real(_find_sql(_P["france_part"]))}, CASE WHEN lower({_find_sql(_P["france_city"], 2)}) NOT IN ({", ".join(f"'{w}'" for w in address.STREET_AFTER_NUMBER)}) THEN {_real(_find_sql(_P["france_city"]))} END,
-  {_real(_find_sql(_P["france_cedex"]))}, {_find_sql(_P["france_label"])})
- ELSE coalesce({_find_sql(_P["uk_label"])}, {_find_sql(_P["label"])}, {_find_sql(_P["six"])}) END"""
+#: The oracle's own copy of the fixed values.
+_US_END = r"(?:^|[,;])\s*([A-Z]{2})\s+(\d{5}(?:-\d{4})?)\s*$"
+_FR_CITY = r"(?:^|[,;])\s*(\d{5})\s+([\p{L}-]+)"
+_FR_PART, _FR_CEDEX = r"(?:^|[,;])\s*(\d{5})\s*(?:[,;]|$)", r"(?:^|[,;])\s*(\d{5})[\p{L}][\p{L}\s-]{1,50}\s+cedex\b"
+_AFTER = "('rue', 'r', 'av', 'ave', 'avenue', 'bd', 'boulevard', 'blvd', 'route', 'rte', 'chemin', 'ch', 'impasse', 'imp', 'place', 'pl', 'quai', 'q')"
+_REGIONS = """('maharashtra', 'delhi', 'uttar pradesh', 'karnataka', 'tamil nadu', 'gujarat', 'west bengal', 'telangana', 'haryana', 'kerala', 'rajasthan', 'bihar',
+ 'madhya pradesh', 'andhra pradesh', 'orissa', 'odisha', 'punjab', 'jharkhand', 'assam', 'uttarakhand', 'hauts-de-france', 'nouvelle-aquitaine', 'pays de la loire',
+ 'nord', 'gironde', 'loire-atlantique', 'pas-de-calais')"""
+_EMPTY = """('', 'null', '<null>', 'none', 'na', 'n/a', '""')"""
+_ROADS = "road|rd|street|st|avenue|ave|boulevard|blvd|lane|ln|rue|route|rte|chemin|impasse|plot|block|floor|flr|apartment|apt|building|bldg|flat|shop|sector|highway|hwy"
+_NUMBER = r"[A-Za-z]?-?\d{1,5}(?:[-/][A-Za-z0-9]{1,6}){0,5}[A-Za-z]?"
+_MARKED = r"(?:^|[\s,;#])(?:h\s*\.?\s*no|house\s*no|door\s*no|plot\s*no|property\s*no|shop\s*no|flat\s*no|unit\s*no|no\.?|n[°º])\s*[:#.-]?\s*(" + _NUMBER + ")"
+_FIRST = r"(?:^|[,;]\s*)#?\s*(" + _NUMBER + r")(?:\s|[,;]|$)"
+_CEDEX = r"(?:^|[,;])\s*\d{5}\s*([\p{L}][\p{L}\s-]{1,50}?)\s+cedex(?:\s+\d+)?(?:[,;]|$)"
+_FR = r"(?:n[°ºo]\.?\s*|#\s*)?\(?\d{1,5}\)?(?:\s*(?:bis|ter|[a-z]))?\s*(?:-\s*)?"
+_SHORT = {"rd": "road", "st": "street", "ave": "avenue", "blvd": "boulevard", "ln": "lane", "hwy": "highway", "bldg": "building", "flr": "floor", "apt": "apartment"}
+_FR_SHORT = {**_SHORT, "st": "saint", "ste": "sainte", "bd": "boulevard", "av": "avenue", "pl": "place", "imp": "impasse"}
+
+POSTCODE_SQL = f"""CASE k WHEN 'india' THEN coalesce({_find_sql(r"\bpin(?:\s*code)?\b\s*[:#-]?\s*(\d{6})\b")}, {_find_sql(r"(?:^|[,;])\s*(\d{6})\s*(?:[,;]|$)")}, {_find_sql(r"[,;]\s*[\p{L}][\p{L}\s-]{1,50}\s+(\d{6})\s*$")})
+ WHEN 'us' THEN coalesce({_find_sql(r"\b(?:zip(?:code)?|postal\s*code)\s*[:#-]?\s*(\d{5}(?:-\d{4})?)\b")}, CASE WHEN lower({_find_sql(_US_END)}) <> 'fl' THEN {_find_sql(_US_END, 2)} END)
+ WHEN 'france' THEN coalesce({_real(_find_sql(_FR_PART))}, CASE WHEN lower({_find_sql(_FR_CITY, 2)}) NOT IN {_AFTER} THEN {_real(_find_sql(_FR_CITY))} END,
+  {_real(_find_sql(_FR_CEDEX))}, {_find_sql(r"\b(?:code\s*postal|postal\s*code|postcode)\b\s*[:#-]?\s*(\d{5})\b")})
+ ELSE coalesce({_find_sql(r"\b(?:postal\s*code|postcode)\b\s*[:#-]?\s*([A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2})\b")}, {_find_sql(r"\b(?:postal\s*code|postcode|zip|pin)\b\s*[:#-]?\s*([A-Z0-9-]{4,10})\b")}, {_find_sql(r"(?:^|[,;\s])(\d{6})(?:$|[,;\s])")}) END"""
 _ADDR = f"WITH {sql_values(ADDRESSES, 'v', 'id, a0, country')}, x AS (SELECT CAST(id AS INTEGER) AS id, coalesce(a0, '') AS a, lower(coalesce(country, '')) AS k FROM v)"
 
 
@@ -203,7 +218,7 @@ def postcode_rules(spark, sf_dir):
 
 
 @query(
-    f"""{_ADDR}, h AS (SELECT id, lower(coalesce({_find_sql(address.HOUSE_AFTER_MARK)}, {_find_sql(address.HOUSE_FIRST)})) AS h, {POSTCODE_SQL} AS p FROM x)
+    f"""{_ADDR}, h AS (SELECT id, lower(coalesce({_find_sql(_MARKED)}, {_find_sql(_FIRST)})) AS h, {POSTCODE_SQL} AS p FROM x)
 SELECT id, CASE WHEN h = p THEN NULL ELSE h END AS house_no FROM h"""
 )
 def house_no_rules(spark, sf_dir):
@@ -211,34 +226,28 @@ def house_no_rules(spark, sf_dir):
     return d.select("id", address.house_number("a", address.postcode("a", "country")).alias("house_no"))
 
 
-_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
 def _likely_sql(c: str) -> str:
     y = f"trim(regexp_replace({c}, '^\\d{{5,6}}\\s+', ''))"
-    return f"""coalesce(regexp_matches({y}, '\\p{{L}}') AND NOT regexp_matches({y}, '\\d') AND NOT (regexp_matches({y}, '(?i)(?:^|\\s)(?:{address.STREET})(?:\\s|$)')
- OR (k = 'france' AND regexp_matches({y}, '(?i)(?:^|\\s)(?:{address.FRENCH_STREET})(?:\\s|$)'))) AND length({y}) <= 60 AND {y} NOT IN {_IN(address.REGIONS)} AND {y} NOT IN {_IN(address.NOTHING)}, false)"""
+    return f"""coalesce(regexp_matches({y}, '\\p{{L}}') AND NOT regexp_matches({y}, '\\d') AND NOT (regexp_matches({y}, '(?i)(?:^|\\s)(?:{_ROADS})(?:\\s|$)')
+ OR (k = 'france' AND regexp_matches({y}, '(?i)(?:^|\\s)(?:r|ch|imp|bd|pl)(?:\\s|$)'))) AND length({y}) <= 60 AND {y} NOT IN {_REGIONS} AND {y} NOT IN {_EMPTY}, false)"""
 
 
 @query(
-    f"""{_ADDR}, p AS (SELECT *, list_filter(list_transform(string_split(a, ','), lambda s: lower(trim(s))), lambda s: s NOT IN {_IN(address.NOTHING)}) AS parts FROM x),
+    f"""{_ADDR}, p AS (SELECT *, list_filter(list_transform(string_split(a, ','), lambda s: lower(trim(s))), lambda s: s NOT IN {_EMPTY}) AS parts FROM x),
 q AS (SELECT *, parts[-1] AS l1, parts[-2] AS l2, parts[-3] AS l3 FROM p),
-r AS (SELECT *, coalesce(l1 IN {_IN(address.REGIONS)} OR (k = 'us' AND regexp_matches(l1, '(?i)^[a-z]{{2}}(?:\\s+\\d{{5}}(?:-\\d{{4}})?)?$')), false) AS region FROM q),
+r AS (SELECT *, coalesce(l1 IN {_REGIONS} OR (k = 'us' AND regexp_matches(l1, '(?i)^[a-z]{{2}}(?:\\s+\\d{{5}}(?:-\\d{{4}})?)?$')), false) AS region FROM q),
 s AS (SELECT *, CASE WHEN region AND l2 IS NOT NULL THEN l2 ELSE l1 END AS c1, CASE WHEN region THEN l3 ELSE l2 END AS c2 FROM r),
 t AS (SELECT *, CASE WHEN {_likely_sql("c1")} THEN c1 WHEN {_likely_sql("c2")} THEN c2 END AS c FROM s),
-u AS (SELECT id, k, nullif({_clean_sql("regexp_replace(c, '^[0-9]{5,6}[ ]+', '')")}, '') AS plain, nullif({_clean_sql(_find_sql(address.CEDEX_CITY))}, '') AS cedex FROM t)
+u AS (SELECT id, k, nullif({_clean_sql("regexp_replace(c, '^[0-9]{5,6}[ ]+', '')")}, '') AS plain, nullif({_clean_sql(_find_sql(_CEDEX))}, '') AS cedex FROM t)
 SELECT id, CASE WHEN k = 'france' THEN regexp_replace(regexp_replace(strip_accents(coalesce(plain, cedex)), '^st\\s+', 'saint '), '^ste\\s+', 'sainte ') ELSE plain END AS city FROM u"""
 )
 def city_rules(spark, sf_dir):
     return values(spark, ADDRESSES, "id int, a string, country string").select("id", address.city("a", "country").alias("city"))
 
 
-_FR = address._FRENCH_HOUSE
-
-
 @query(
     f"""{_ADDR}, f AS (SELECT *, regexp_replace(regexp_replace(a, '(?i)(^|[,;]\\s*)((?:{_FR})?)r\\.?\\s+', '\\1\\2rue ', 'g'), '(?i)(^|[,;]\\s*)({_FR})ch\\.?\\s+', '\\1\\2chemin ', 'g') AS fa FROM x)
-SELECT id, CASE WHEN k = 'france' THEN strip_accents({_expand_sql(_clean_sql("fa"), address.FRENCH_SHORT)}) ELSE {_expand_sql(_clean_sql("a"), address.ADDRESS_SHORT)} END AS addr_norm FROM f"""
+SELECT id, CASE WHEN k = 'france' THEN strip_accents({_expand_sql(_clean_sql("fa"), _FR_SHORT)}) ELSE {_expand_sql(_clean_sql("a"), _SHORT)} END AS addr_norm FROM f"""
 )
 def normalize_addresses(spark, sf_dir):
     return values(spark, ADDRESSES, "id int, a string, country string").select("id", address.normalize_address("a", "country").alias("addr_norm"))
@@ -250,7 +259,7 @@ def normalize_records(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RECORDS}, n AS (SELECT country, {NAME_SQL} AS name_norm, {_expand_sql(_clean_sql("address"), address.ADDRESS_SHORT)} AS addr_norm, regexp_matches(name, '[^\\P{{L}}\\p{{Latin}}]') AS other FROM records)
+    f"""WITH {RECORDS}, n AS (SELECT country, {NAME_SQL} AS name_norm, {_expand_sql(_clean_sql("address"), _SHORT)} AS addr_norm, regexp_matches(name, '[^\\P{{L}}\\p{{Latin}}]') AS other FROM records)
 SELECT country, count(*) AS n, count(*) FILTER (name_norm <> '') AS n_name_norm, count(*) FILTER (addr_norm <> '') AS n_addr_norm, count(*) FILTER (other) AS n_other_script FROM n GROUP BY country"""
 )
 def fill_report(spark, sf_dir):
@@ -281,4 +290,4 @@ VOTES = [(1, "shri ram traders", "श्री राम ट्रेडर्
 def learned_map_names(spark, sf_dir):
     d = values(spark, VOTES, "id int, latin_name string, dev_name string")
     token_map = learn_token_map(d, "dev_name", "latin_name", min_share=0.6)
-    return d.select("id", scripts.transliterate("dev_name", as_map(token_map)).alias("latin"))
+    return scripts.with_known_tokens(d, "dev_name", token_map).select("id", scripts.transliterate("dev_name").alias("latin"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import address, names, scripts, text
-from tessera.plans.normalize import COLUMNS, as_map, learn_token_map, normalize
+from tessera.plans.normalize import COLUMNS, learn_token_map, normalize
 
 
 def one(spark, rows, schema, column):
@@ -119,6 +119,9 @@ def test_romanize():
     assert scripts.romanize_devanagari("१२é") == "12e"
     assert scripts.romanize_indic("ট্রেড") == "tred"
     assert scripts.romanize_indic("abcक") == "abck"
+    # Inherent vowels, endings, stray signs, two signs, nuktas and digits, in both spellings.
+    for t, name, indic in [("कमल", "kamal", "kamal"), ("कं", "kan", "kn"), ("ाक", "xk", "k"), ("काि", "kaax", "kaa"), ("ज़ू", "joo", "joo"), ("क़़म", "kam", "kam"), ("क१", "ka1", "ka1"), ("क्ष", "ksh", "ksh"), ("कx", "kax", "kx"), ("ऽ", "", ""), ("ऴ", "x", "l"), ("এক", "এক", "ek")]:
+        assert scripts.romanize_devanagari(t) == name and scripts.romanize_indic(t) == indic, t
 
 
 def test_transliterate_uses_the_map_first(spark):
@@ -126,7 +129,8 @@ def test_transliterate_uses_the_map_first(spark):
     d = spark.createDataFrame(pairs, "lat string, dev string")
     learned = learn_token_map(d, "dev", "lat")
     assert {r["tok"]: r["new"] for r in learned.collect()}["राम"] == "ram"
-    got = one(spark, [("राम limited",), ("",), (None,)], "s string", scripts.transliterate("s", as_map(learned)))
+    d = scripts.with_known_tokens(spark.createDataFrame([(1, "राम limited"), (2, ""), (3, None)], "i int, s string"), "s", learned)
+    got = [r[0] for r in d.orderBy("i").select(scripts.transliterate("s")).collect()]
     assert got == ["ram", "", ""]
 
 
