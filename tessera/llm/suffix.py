@@ -9,21 +9,28 @@ anchors, which deals the corpus to many machines without losing a match:
 2. equal contexts are counted; all windows of a context that occurs twice are repeated;
 3. where an anchor has several different contexts, their bytes are fetched and dealt by anchor.
    Each task keeps a family of suffix arrays: a batch of contexts gets its suffix array, which is
-   scanned against itself and against the arrays of the existing levels for suffixes that agree on
-   `length` bytes; arrays of equal level are merged into one of the next level, so a task of n
-   batches holds about log2(n) arrays;
+   merge-scanned against the arrays of the existing levels for suffixes that agree on `length`
+   bytes; arrays of equal level are merged into one of the next level, so a task of n batches holds
+   about log2(n) arrays;
 4. an anchor with very many different contexts (the edge of a passage that everyone quotes) is not
-   given to one task: its windows are counted by content instead, which also is exact;
+   given to one task: equal windows have the anchor at the same place, so its contexts are parted by
+   that place into ranges, and by the bytes that all windows of a range share. What meets after that
+   has more bytes in common; what is still too many is parted again by narrower ranges, the last of
+   which hold one window;
 5. the repeated windows are carried back to every occurrence, and each text is cut once.
 
-Contexts and windows are compared by hashes of 64 bits under an equal anchor hash of 64 bits, and of
-128 bits, in steps 2 and 4, by their bytes in step 3.
+Contexts are told apart, in steps 2 and 4, by 128-bit digests under a 64-bit hash of their anchor,
+texts by 128-bit digests; windows of different contexts by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +41,17 @@ from pyspark.sql import functions as F
 from .common import arrow, blobs, dropped, staged
 
 LENGTH, GRAM, PIECE = 200, 24, 1 << 19
-#: Different contexts of one anchor that one task compares (about 1.5 MB of them); more are compared by
-#: window.
-MOST_CONTEXTS = 5000
-BATCH_BYTES = 2 << 20
+#: Different contexts of one anchor that are left together in a task (about 150 kB of them).
+TOGETHER = 512
+#: Places of the anchor in a range, for anchors with more.
+RANGES = (24, 4, 1)
+#: Bytes of contexts that get a suffix array at once, and that a task compares.
+BATCH_BYTES, TASK_BYTES = 1 << 18, 1 << 21
+#: Windows of an array that are held as strings at once.
+SLICE = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+CONTEXT = ["key", "ctx", "ctx2"]
 
 
 def _powers(x: np.uint64, n: int) -> np.ndarray:
@@ -59,17 +71,17 @@ class Anchors:
         self.low = np.uint64((1 << (n - 1).bit_length()) - 1)
         self.index = np.arange(n, dtype=np.uint64)
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor hash, first window, windows) of each context of a text, in order."""
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor hash, first window, windows, place of the anchor) of each context of a text, in order."""
         n = len(text)
         if n < self.length:
-            return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
         found = []
         for at in range(0, n - self.length + 1, self.piece):
             found.append(self._piece(np.frombuffer(text, np.uint8, min(n, at + self.piece + self.length - 1) - at, at), at))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
 
-    def _piece(self, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _piece(self, b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n, k = len(b), self.gram
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.inverse[:n], out=total[1:])
@@ -88,124 +100,103 @@ class Anchors:
         least = np.minimum(back[: m - w + 1], ahead[w - 1 : m])
         place = (least & self.low).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        return h[place[first]], first + at, np.diff(first, append=len(place))
-
-
-def _ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-    """Rank of each position by its first `length` bytes (zeros beyond the end), by doubling."""
-    n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    rank = np.zeros(n, np.uint64)
-    known = min(8, length)
-    for i in range(known):
-        rank = rank << np.uint64(8) | padded[i : i + n]
-    while True:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-        if known >= length:
-            return rank.astype(np.int64), known
-        step = min(known, length - known)
-        later = np.zeros(n, np.uint64)
-        if step < n:
-            later[: n - step] = rank[step:] + np.uint64(1)
-        rank = rank * np.uint64(n + 1) + later
-        known += step
+        return h[place[first]], first + at, np.diff(first, append=len(place)), place[first] + at
 
 
 class Level:
-    """A suffix array over the windows of some contexts: windows in the order of their bytes."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int) -> None:
-        self.length, self.data = length, data
-        rank = _ranks(data, length)[0][starts] if len(starts) else np.zeros(0, np.int64)
-        order = np.argsort(rank, kind="stable")
-        self.order, self.starts = order, starts  # window numbers in sorted order
-        sorted_rank = rank[order]
-        self.same = np.concatenate((sorted_rank[1:] == sorted_rank[:-1], [False])) if len(rank) else np.zeros(0, bool)
-        self.head = self._words(starts[order])
-
-    def _words(self, at: np.ndarray) -> np.ndarray:
-        """First bytes as a number that sorts like them."""
-        out = np.zeros(len(at), np.uint64)
-        for i in range(min(8, self.length)):
-            out = out << np.uint64(8) | self.data[at + i]
-        return out
-
-    def repeated(self) -> np.ndarray:
-        """Window numbers that equal another window of this level."""
-        twice = self.same.copy()
-        twice[1:] |= self.same[:-1]
-        return self.order[twice]
-
-    def search(self, data: np.ndarray, at: np.ndarray, head: np.ndarray) -> np.ndarray:
-        """For each window of other bytes (place at, first bytes head): a place in the sorted order
-        whose window equals it, or -1. Binary search by whole windows within equal first bytes."""
-        lo, hi = np.searchsorted(self.head, head, "left"), np.searchsorted(self.head, head, "right")
-        found = np.full(len(at), -1, np.int64)
-        left = np.flatnonzero(lo < hi)
-        window = np.arange(self.length)
-        while len(left):
-            part = left
-            left = []
-            for s in range(0, len(part), 20_000):
-                q = part[s : s + 20_000]
-                mid = (lo[q] + hi[q]) // 2
-                mine = data[at[q][:, None] + window]
-                other = self.data[self.starts[self.order[mid]][:, None] + window]
-                differ = mine != other
-                at_byte = differ.argmax(1)
-                r = np.arange(len(q))
-                a, b = mine[r, at_byte], other[r, at_byte]
-                equal = a == b
-                found[q[equal]] = mid[equal]
-                less = a < b
-                hi[q[less]] = mid[less]
-                more = ~less & ~equal
-                lo[q[more]] = mid[more] + 1
-                rest = q[~equal]
-                left.append(rest[lo[rest] < hi[rest]])
-            left = np.concatenate(left)
-        return found
-
-    def equals(self, place: np.ndarray) -> np.ndarray:
-        """Window numbers of the runs of equal windows that the places stand in."""
-        run = np.concatenate(([0], np.cumsum(~self.same[:-1]))) if len(self.same) else np.zeros(0, np.int64)
-        hit = np.zeros(len(self.same), bool)
-        hit[place] = True
-        wanted = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
-        wanted[run[hit]] = True
-        return self.order[wanted[run]] if len(run) else self.order
+    """A suffix array: places in a text (one character for a byte) in the order of the `length`
+    characters there, and the name of each."""
+
+    def __init__(self, text: str, starts: np.ndarray, names: np.ndarray, length: int) -> None:
+        self.text, self.starts, self.names, self.length = text, starts, names, length
+
+    @classmethod
+    def of(cls, text: str, starts: np.ndarray, names: np.ndarray, length: int) -> tuple[Level, np.ndarray]:
+        """The suffix array of the places, and which of its windows equal another."""
+        out = cls(text, starts, names, length)
+        window = out.windows(0, len(starts))
+        order = np.array(sorted(range(len(window)), key=window.__getitem__), np.int64)
+        out.starts, out.names = starts[order], names[order]
+        return out, _in_runs([window[i] for i in order.tolist()])
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def windows(self, i: int, j: int) -> list[str]:
+        t, n = self.text, self.length
+        return [t[s : s + n] for s in self.starts[i:j].tolist()]
+
+
+def _in_runs(ordered: list[str]) -> np.ndarray:
+    """For sorted strings, whether a neighbour is equal."""
+    same = np.zeros(len(ordered) + 1, bool)
+    same[1:-1] = np.fromiter(map(eq, ordered, islice(ordered, 1, None)), bool, max(0, len(ordered) - 1))
+    return same[1:] | same[:-1]
+
+
+def merge_scan(a: Level, b: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over two suffix arrays: how many windows of a come before each window of b when they
+    are merged; which windows of a, and which of b, equal another. (Windows of one array that equal each other
+    are marked when the array is made.)
+
+    Sorting two sorted runs, Python's sort merges them: linear in comparisons."""
+    upper, in_a, in_b = np.zeros(len(b), np.int64), np.zeros(len(a), bool), np.zeros(len(b), bool)
+    other, done = b.windows(0, len(b)), 0
+    for i in range(0, len(a), SLICE):
+        mine = a.windows(i, i + SLICE)
+        stop = len(other) if i + SLICE >= len(a) else bisect_right(other, mine[-1], done)
+        if stop == done:
+            continue
+        both = mine + other[done:stop]
+        order = np.array(sorted(range(len(both)), key=both.__getitem__), np.int64)
+        equal = _in_runs([both[k] for k in order.tolist()])
+        from_b = order >= len(mine)
+        upper[done:stop] = i + np.cumsum(~from_b)[from_b]
+        in_a[i : i + len(mine)] = equal[~from_b]
+        in_b[done:stop] = equal[from_b]
+        done = stop
+    return upper, in_a, in_b
+
+
+def merged(a: Level, b: Level, upper: np.ndarray) -> Level:
+    """Two suffix arrays as one, given how many windows of a come before each of b."""
+    from_b = np.zeros(len(a) + len(b), bool)
+    from_b[upper + np.arange(len(b))] = True
+    starts, names = np.empty(len(from_b), np.int64), np.empty(len(from_b), np.int64)
+    starts[from_b], starts[~from_b] = b.starts + len(a.text), a.starts
+    names[from_b], names[~from_b] = b.names, a.names
+    return Level(a.text + b.text, starts, names, a.length)
 
 
 class Family:
-    """Levels of suffix arrays; a level of number j holds about 2^j batches."""
+    """Levels of suffix arrays; level j holds about 2^j batches."""
 
     def __init__(self, length: int = LENGTH) -> None:
         self.length = length
-        self.levels: dict[int, tuple[Level, np.ndarray]] = {}  # with the global window numbers
-        self.count = 0
+        self.levels: dict[int, Level] = {}
+        self.count = self.most_levels = self.merges = 0
         self.marks: list[np.ndarray] = []
 
-    def add(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Index windows of `length` bytes of data at starts; returns their numbers."""
-        numbers = np.arange(self.count, self.count + len(starts))
+    def add(self, data: bytes, starts: np.ndarray) -> None:
+        """Index the windows of `length` bytes of data at starts, numbered on from those before."""
+        names = np.arange(self.count, self.count + len(starts))
         self.count += len(starts)
-        new = Level(data, starts, self.length)
-        self.marks.append(numbers[new.repeated()])
-        at = starts[new.order]
-        for level, names in self.levels.values():
-            place = level.search(data, at, new.head)
-            hit = place >= 0
-            self.marks.append(numbers[new.order[hit]])
-            self.marks.append(names[level.equals(place[hit])])
+        new, twice = Level.of(str(data, "latin-1"), starts, names, self.length)
+        self.marks.append(new.names[twice])
+        place = None
+        for j, level in self.levels.items():
+            upper, old_hit, new_hit = merge_scan(level, new)
+            self.marks += [level.names[old_hit], new.names[new_hit]]
+            if j == 0:
+                place = upper
         j = 0
         while j in self.levels:
-            old, names = self.levels.pop(j)
-            shift = len(old.data)
-            new = Level(np.concatenate((old.data, new.data)), np.concatenate((old.starts, new.starts + shift)), self.length)
-            numbers = np.concatenate((names, numbers))
+            old = self.levels.pop(j)
+            new = merged(old, new, place if j == 0 else merge_scan(old, new)[0])
+            self.merges += 1
             j += 1
-        self.levels[j] = new, numbers
-        return np.arange(self.count - len(starts), self.count)
+        self.levels[j] = new
+        self.most_levels = max(self.most_levels, len(self.levels))
 
     def repeated(self) -> np.ndarray:
         """For each window number, whether it equals another window."""
@@ -216,36 +207,35 @@ class Family:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("th"), F.encode(text, "UTF-8").alias("text"))
+    """(doc_id, th, text): whole texts as bytes, null as empty, under their 128-bit digests."""
+    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(raw)).alias("th"), raw.alias("text"))
 
 
 def _contexts(rows: DataFrame, length: int, gram: int, keys_only: bool) -> DataFrame:
+    """Contexts of the texts; c: how many rows of a batch have this text."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Anchors(length, gram)
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            texts = blobs(b.column(2))
-            keys, firsts, counts, row = [], [], [], []
-            for i, t in enumerate(texts):
-                if len(t) >= length:
-                    k, s, n = cut(t)
-                    keys.append(k)
-                    firsts.append(s)
-                    counts.append(n)
-                    row.append(np.full(len(k), i))
-            if not keys:
+            times = Counter(t for t in blobs(b.column(1)) if len(t) >= length)
+            if not times:
                 continue
-            key = np.concatenate(keys).view(np.int64)
+            of = dict(zip(blobs(b.column(1)), b.column(0).to_pylist(), strict=True))
+            found = [(*cut(t), t) for t in times]
+            key = np.concatenate([f[0] for f in found]).view(np.int64)
+            each = [len(f[0]) for f in found]
+            c = pa.array(np.repeat(np.fromiter(times.values(), np.int64), each))
             if keys_only:
-                yield pa.record_batch([pa.array(key)], names=["key"])
+                yield pa.record_batch([pa.array(key), c], names=["key", "c"])
                 continue
-            s, n, r = np.concatenate(firsts), np.concatenate(counts), np.concatenate(row)
-            digest = xxhash.xxh3_64_intdigest
-            ctx = np.fromiter((digest(texts[i][a:e]) for i, a, e in zip(r.tolist(), s.tolist(), (s + n + length - 1).tolist(), strict=True)), np.uint64, len(r))
-            pick = pa.array(r)
-            yield pa.record_batch([pa.array(key), pa.array(ctx.view(np.int64)), b.column(0).take(pick), b.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "ctx", "doc_id", "th", "s", "n"])
+            ctx = np.frombuffer(b"".join([digest(t[s:e]) for _, first, n, _, t in found for s, e in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+            th = pa.array([of[t] for t in times], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), each)))
+            s, n = (pa.array(np.concatenate([f[i] for f in found]).astype(np.int32)) for i in (1, 2))
+            yield pa.record_batch([pa.array(key), pa.array(ctx[:, 0]), pa.array(ctx[:, 1]), c, th, s, n], names=[*CONTEXT, "c", "th", "s", "n"])
 
-    return arrow(rows, kernel, "key long" if keys_only else "key long, ctx long, doc_id long, th long, s int, n int")
+    return arrow(rows.select("th", "text"), kernel, "key long, c long" if keys_only else "key long, ctx long, ctx2 long, c long, th binary, s int, n int")
 
 
 def _runs(flags: np.ndarray) -> list[dict[str, int]]:
@@ -255,92 +245,139 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+SPANS = "array<struct<a:int,b:int>>"
 
 
 def _compare(length: int, batch_bytes: int):
+    """The repeated windows of contexts (key, ctx, ctx2, x), by a family of suffix arrays for a task."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(length)
-        held: list[tuple[int, int, int]] = []  # key, ctx, windows
-        kept: list[tuple[int, int, bytes]] = []
+        names: list[pa.RecordBatch] = []
+        windows: list[np.ndarray] = []
+        kept: list[bytes] = []
         size = 0
 
         def index() -> None:
             nonlocal kept, size
-            data = np.frombuffer(b"".join(x for _, _, x in kept), np.uint8)
-            sizes = np.array([len(x) for _, _, x in kept])
-            wins = sizes - length + 1
-            base = np.repeat(np.cumsum(sizes) - sizes, wins)
-            inner = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-            family.add(data, base + inner)
-            held.extend((k, c, int(w)) for (k, c, _), w in zip(kept, wins, strict=True))
+            sizes = np.array([len(x) for x in kept])
+            n = sizes - length + 1
+            base = np.repeat(np.cumsum(sizes) - sizes, n)
+            family.add(b"".join(kept), base + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            windows.append(n)
             kept, size = [], 0
 
         for b in batches:
-            for k, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                kept.append((k, c, x))
+            names.append(b.select(CONTEXT))
+            for x in blobs(b.column(3)):
+                kept.append(x)
                 size += len(x)
                 if size >= batch_bytes:
                     index()
         if kept:
             index()
-        flags = family.repeated()
-        at = 0
-        for s in range(0, len(held), 8192):
-            part, spans = held[s : s + 8192], []
-            for _, _, w in part:
-                spans.append(_runs(flags[at : at + w]))
-                at += w
-            yield pa.record_batch([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()), pa.array(spans, _SPANS)], names=["key", "ctx", "spans"])
+        flags, n = family.repeated(), np.concatenate(windows) if windows else np.zeros(0, np.int64)
+        ends, at = np.cumsum(n), 0
+        for b in names:
+            spans = [_runs(flags[e - w : e]) for e, w in zip(ends[at : at + b.num_rows].tolist(), n[at : at + b.num_rows].tolist(), strict=True)]
+            at += b.num_rows
+            yield pa.record_batch([*b.columns, pa.array(spans, _SPANS)], names=[*CONTEXT, "spans"])
 
     return kernel
 
 
-def _windows(length: int):
+def _parted(length: int, gram: int, width: int):
+    """Contexts (key, ctx, ctx2, x) parted by the place of the anchor: a row for each range of `width`
+    places. All windows of a range hold the same bytes around the anchor, whose hash is the new key."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        cut = Anchors(length, gram)
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            d = np.frombuffer(b"".join(columns[6]), np.int64).reshape(-1, 2)
+            ints = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(c, pa.int32()) for c in columns[3:5]]
+            return pa.record_batch([*ints, pa.array(np.array(columns[5], np.uint64).view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(columns[7], pa.binary())], names=[*CONTEXT, "a", "n", "key2", "d1", "d2", "x"])
+
         for b in batches:
-            for k, c, x, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(x) - length + 1
-                w = np.frombuffer(b"".join([digest(x[i : i + length]) for i in range(n)]), np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(np.full(n, k)), pa.array(np.full(n, c)), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, times))], names=["key", "ctx", "w1", "w2", "a", "c"])
+            for k, c1, c2, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                anchor = int(cut(x)[3][0])
+                last = len(x) - length  # of the windows of x
+                for r in range(max(0, anchor - last) // width, anchor // width + 1):
+                    # Windows that have the anchor r * width to r * width + width - 1 bytes in.
+                    low, high = max(0, anchor - (r + 1) * width + 1), min(last, anchor - r * width)
+                    core = x[anchor - r * width : anchor - (r + 1) * width + 1 + length]
+                    part = x[low : high + length]
+                    out.append((k, c1, c2, low, high - low + 1, xxhash.xxh3_64_intdigest(core, (k + r) & 0xFFFFFFFFFFFFFFFF), xxhash.xxh3_128_digest(part), part))
+                if len(out) >= 4096:
+                    yield flush()
+                    out.clear()
+        if out:
+            yield flush()
 
     return kernel
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_CONTEXTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, th, spans): for each row of docs with repeated bytes, spans of windows (a: start of
-    the first, b: of the last) of `length` bytes that start elsewhere too. th is the crc32 of the
-    text, which tells rows of equal doc_id apart."""
-    spark = docs.sparkSession
+def _compared(contexts: DataFrame, length: int, gram: int, together: int, batch_bytes: int, task_bytes: int, widths: tuple[int, ...], made: list[DataFrame]) -> DataFrame:
+    """(key, ctx, ctx2, spans): windows of contexts (key, ctx, ctx2, x, kinds: different contexts of
+    the key) that equal a window of another context of their key. Tables it stages go to `made`."""
+    few = contexts.where(F.col("kinds") <= together) if widths else contexts
+    total = few.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    dealt = few.select(*CONTEXT, "x").repartition(max(1, -(-total // task_bytes)), "key")
+    found = arrow(dealt, _compare(length, batch_bytes), f"key long, ctx long, ctx2 long, spans {SPANS}").where(F.size("spans") > 0)
+    many = contexts.where(F.col("kinds") > together)
+    if not widths or many.isEmpty():
+        return found
+    parts = staged(arrow(many.select(*CONTEXT, "x"), _parted(length, gram, widths[0]), "key long, ctx long, ctx2 long, a int, n int, key2 long, d1 long, d2 long, x binary"), "parts")
+    kinds = staged(parts.groupBy("key2", "d1", "d2").agg(F.count("*").alias("c"), F.min("x").alias("x")), "part-kinds")
+    again = kinds.groupBy("key2").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    left = staged(kinds.join(again, "key2").select(F.col("key2").alias("key"), F.col("d1").alias("ctx"), F.col("d2").alias("ctx2"), "x", "kinds"), "part-contexts")
+    whole = kinds.where("c > 1").select(F.col("key2").alias("key"), F.col("d1").alias("ctx"), F.col("d2").alias("ctx2"), _whole(F.octet_length("x") - (length - 1)).alias("spans"))
+    made += [parts, kinds, left]
+    inner = _one_row(whole.unionByName(_compared(left, length, gram, together, batch_bytes, task_bytes, widths[1:], made)))
+    inner = inner.select(F.col("key").alias("key2"), F.col("ctx").alias("d1"), F.col("ctx2").alias("d2"), "spans")
+    back = parts.drop("x").join(inner, ["key2", "d1", "d2"]).select(*CONTEXT, _shifted("spans", "a").alias("spans"))
+    return found.unionByName(back)
+
+
+def _whole(n) -> F.Column:
+    return F.array(F.struct(F.lit(0).alias("a"), (n - 1).cast("int").alias("b")))
+
+
+def _shifted(spans: str, by: str) -> F.Column:
+    return F.transform(spans, lambda q: F.struct((q["a"] + F.col(by)).alias("a"), (q["b"] + F.col(by)).alias("b")))
+
+
+def _one_row(spans: DataFrame) -> DataFrame:
+    """All spans of a context in one row."""
+    return spans.groupBy(*CONTEXT).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER, batch_bytes: int = BATCH_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(th, spans): for each different text of docs with repeated bytes, spans of windows (a: start of
+    the first, b: of the last) of `length` bytes that start elsewhere too. th is the digest of the
+    text: rows of equal texts have equal spans, whatever their ids."""
     rows = _rows(docs)
     # Written out, so that the join below has a plain exchange on both sides, whose hot keys AQE splits.
-    often = staged(_contexts(rows, length, gram, True).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "often")
+    often = staged(_contexts(rows, length, gram, True).groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").select("key"), "often")
     found = staged(_contexts(rows, length, gram, False).join(often, "key"), "contexts")
-    kinds = staged(found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s", "n")).alias("r")), "kinds")
+    kinds = staged(found.groupBy(*CONTEXT).agg(F.sum("c").alias("c"), F.min(F.struct("th", "s", "n")).alias("r")), "kinds")
     several = staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    twice = kinds.where("c > 1").select("key", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("r.n") - 1).alias("b"))).alias("spans"))
-
-    # Bytes of one occurrence of each context that has to be compared.
-    asked = kinds.join(several, "key").select("key", "ctx", "c", "kinds", "r.*")
-    by_doc = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "c", "kinds", "s", "n")).alias("asked"))
-    d = by_doc.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
-    one = rows.join(d, F.expr("doc_id <=> d and th = t")).select("text", F.explode("asked").alias("q"))
-    bytes_ = one.select("q.key", "q.ctx", "q.c", "q.kinds", F.expr(f"substring(text, q.s + 1, q.n + {length - 1})").alias("x")).dropDuplicates(["key", "ctx"])
-    fetched = staged(bytes_, "fetched")
-    few, many = fetched.where(F.col("kinds") <= most), fetched.where(F.col("kinds") > most)
-    total = few.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // batch_bytes))
-    compared = arrow(few.select("key", "ctx", "x").repartition(parts, "key"), _compare(length, batch_bytes), "key long, ctx long, spans array<struct<a:int,b:int>>")
-    spans = twice.unionByName(compared.where(F.size("spans") > 0))
-    if not many.isEmpty():
-        windows = staged(arrow(many.select("key", "ctx", "x", "c"), _windows(length), "key long, ctx long, w1 long, w2 long, a int, c long"), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
-        hit = windows.join(again, ["w1", "w2"])
-        spans = spans.unionByName(hit.groupBy("key", "ctx").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("spans")))
-    verdict = staged(spans.select("key", "ctx", F.explode("spans").alias("q")).select("key", "ctx", "q.a", "q.b"), "verdict")
-    placed = found.join(verdict, ["key", "ctx"]).select("doc_id", "th", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("q"))
-    out = staged(placed.groupBy("doc_id", "th").agg(F.collect_set("q").alias("spans")), "spans")
-    for x in (often, found, kinds, several, fetched, verdict):
+    twice = kinds.where("c > 1").select(*CONTEXT, _whole(F.col("r.n")).alias("spans"))
+
+    # Bytes of one occurrence of each context that has to be compared, from one row of each text.
+    asked = kinds.join(several, "key").select(*CONTEXT, "kinds", "r.*")
+    by_text = asked.groupBy("th").agg(F.collect_list(F.struct(*CONTEXT, "kinds", "s", "n")).alias("asked"))
+    texts = rows.where(F.octet_length("text") >= length).groupBy("th").agg(F.first("text").alias("text"))
+    one = texts.join(by_text, "th").select("text", F.explode("asked").alias("q"))
+    fetched = staged(one.select("q.key", "q.ctx", "q.ctx2", "q.kinds", F.expr(f"substring(text, q.s + 1, q.n + {length - 1})").alias("x")), "fetched")
+    made: list[DataFrame] = []
+    repeats = _compared(fetched, length, gram, together, batch_bytes, task_bytes, RANGES, made)
+    verdict = staged(_one_row(twice.unionByName(repeats)), "verdict")
+    placed = found.join(verdict, CONTEXT).select("th", _shifted("spans", "s").alias("q"))
+    out = staged(placed.groupBy("th").agg(F.flatten(F.collect_set("q")).alias("spans")), "spans")
+    for x in (often, found, kinds, several, fetched, verdict, *made):
         dropped(x)
     return out
 
@@ -369,8 +406,8 @@ def _spans_of(col: pa.Array) -> list[list[tuple[int, int]]]:
 
 
 def _with_spans(docs: DataFrame, rows: DataFrame, length: int, **options) -> DataFrame:
-    spans = repeated_spans(docs, length, **options).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans"))
-    return rows.join(spans, F.expr("doc_id <=> _d and _th = _t"), "left").drop("_d", "_t")
+    spans = repeated_spans(docs, length, **options).select(F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    return rows.join(spans, "_th", "left").drop("_th")
 
 
 def removal(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -401,9 +438,9 @@ def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     anew. A character of which a byte is removed is removed whole; null texts stay null; all rows
     stay, empty texts too."""
     names = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     # The columns travel in a struct, whatever their names.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("_th"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.unhex(F.md5(raw)).alias("_th"))
     at = names.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

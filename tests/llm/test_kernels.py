@@ -79,13 +79,31 @@ def test_family_finds_all_repeats():
             for t in some:
                 starts += range(base, base + len(t) - length + 1)
                 base += len(t)
-            family.add(np.frombuffer(b"".join(some), np.uint8), np.array(starts))
-        assert len(family.levels) <= 5  # 14 batches: 8 + 4 + 2
+            family.add(b"".join(some), np.array(starts))
+        assert sorted(family.levels) == [1, 2, 3] and family.merges == 11  # 14 batches: 8 + 4 + 2
+        for level in family.levels.values():
+            w = level.windows(0, len(level))
+            assert w == sorted(w)
         c = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = [c[t[i : i + length]] > 1 for t in texts for i in range(len(t) - length + 1)]
         assert family.repeated().tolist() == want
 
 
+def test_merge_scan_in_slices(monkeypatch):
+    monkeypatch.setattr(suffix, "SLICE", 3)
+    rng = random.Random(8)
+    for _ in range(30):
+        parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(4, 40))) for _ in range(2)]
+        a, b = (suffix.Level.of(t, np.arange(len(t) - 3), np.arange(len(t) - 3), 4) for t in parts)
+        upper, in_a, in_b = suffix.merge_scan(a[0], b[0])
+        x, y = (z[0].windows(0, len(z[0])) for z in (a, b))
+        assert all(sum(p < q for p in x) <= u <= sum(p <= q for p in x) for u, q in zip(upper.tolist(), y, strict=True))
+        assert (in_b | b[1]).tolist() == [q in x or y.count(q) > 1 for q in y]
+        assert (in_a | a[1]).tolist() == [p in y or x.count(p) > 1 for p in x]
+        both = suffix.merged(a[0], b[0], upper)
+        assert both.windows(0, len(both)) == sorted(x + y)
+
+
 def test_anchors_are_in_step():
     rng = random.Random(1)
     shared = bytes(rng.choice(b"abcdef") for _ in range(90))
@@ -93,7 +111,8 @@ def test_anchors_are_in_step():
     pair = []
     for lead in (b"x" * 33, b"yz" * 40):
         t = lead + shared + b"q" * 11
-        key, first, count = cut(t)
+        key, first, count, place = cut(t)
+        assert ((place >= first + count - 1) & (place + 6 <= first + 20)).all()
         assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == len(t) - 19
         pair.append({t[s + i : s + i + 20]: k for k, s, n in zip(key.tolist(), first.tolist(), count.tolist(), strict=True) for i in range(n)})
     for i in range(len(shared) - 19):

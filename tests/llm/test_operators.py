@@ -121,13 +121,24 @@ def brute_removal(rows, length=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [1, 8192])
-def test_suffix_removal(spark, docs, most):
-    got = sorted(map(tuple, suffix.removal(docs, most=most, batch_bytes=3000).collect()), key=repr)
+@pytest.mark.parametrize("together", [1, 4, 512])
+def test_suffix_removal(spark, docs, together):
+    got = sorted(map(tuple, suffix.removal(docs, together=together, batch_bytes=3000, task_bytes=30000).collect()), key=repr)
     assert got == brute_removal(ROWS)
     assert suffix.removal(none(docs)).count() == 0
 
 
+def test_suffix_edges_of_a_common_passage(spark):
+    """One passage in many texts, cut off and continued at many places: hot anchors on every level."""
+    r = random.Random(6)
+    texts = [prose(3) + PASSAGE[r.randrange(40) : len(PASSAGE) - r.randrange(40)] + prose(r.randrange(4)) for _ in range(60)]
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(texts + texts[:3])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for together in (1, 8):
+        got = sorted(map(tuple, suffix.removal(d, together=together, batch_bytes=4000, task_bytes=40000).collect()), key=repr)
+        assert got == brute_removal(rows)
+
+
 def test_suffix_cut_keeps_columns_and_rows(spark, docs):
     d = suffix.cut(docs)
     assert d.columns == docs.columns and d.count() == len(ROWS)
