@@ -254,12 +254,12 @@ def test_join_blocks_loses_nothing():
     eps = np.sqrt(2 - 2 * 0.95)
     want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95), strict=True) if i < j}
     got = set()
-    for s, t, link in embed.join_blocks(x, x, z, z, True, 0.95, eps, 16):
+    for s, t, link in embed.join_blocks(x, x, embed.boxes(z, 16), embed.boxes(z, 16), True, 0.95, eps, 16):
         got |= {(s + i, t + j) for i, j in zip(*np.nonzero(link), strict=True) if s + i < t + j}
     assert got == want
     a, b = np.arange(150), np.arange(150, 300)
     got = set()
-    for s, t, link in embed.join_blocks(x[a], x[b], z[a], z[b], False, 0.95, eps, 16):
+    for s, t, link in embed.join_blocks(x[a], x[b], embed.boxes(z[a], 16), embed.boxes(z[b], 16), False, 0.95, eps, 16):
         got |= {(s + i, 150 + t + j) for i, j in zip(*np.nonzero(link), strict=True)}
     assert got == {(i, j) for i, j in want if i < 150 <= j}
 

@@ -210,14 +210,19 @@ def test_embeddings(spark):
     x[70] = x[71] = x[3]
     x[72] = 2 * x[3]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(90, None, 1), (91, [0.0] * 16, 1), (92, [None] + [1.0] * 15, 1), (93, [float("nan")] * 16, 1), (94, [float("inf")] + [0.0] * 15, 1), (95, [], 1), (96, [1.0, 2.0], 1), (97, [1.0, 2.0], 1)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"v": F.lit(1), "n": F.lit(2), "rep": F.lit(3)})
-    ok = {i: np.array(v, float) for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    # Null and repeated ids: copies of a vector of the group, a pair of its own, one alone, one that cannot link.
+    rows += [(None, x[30].tolist(), 1), (None, (-x[5]).tolist(), 1), (None, (-x[5] * 3).tolist(), 1), (None, (-x[6]).tolist(), 1), (None, None, 1), (5, x[31].tolist(), 1), (7, (-x[7]).tolist(), 1)]
+    ids = [r[0] for r in rows]
+    ok = {k: np.array(v, float) for k, (_, v, _) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
     near = {(a, b) for a in ok for b in ok if a != b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= 0.95}
-    at = connected(98, near)
-    want = {i: (sum(a == i for a, _ in near), min(j for j in range(98) if at[j] == at[i])) for i in range(98)}
-    for interval in (8, 4096):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed.near_duplicates(d, interval=interval, block=4).collect()}
-        assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
+    at = connected(len(rows), near)
+    least = [min((ids[j] for j in range(len(rows)) if at[j] == at[k] and ids[j] is not None), default=None) for k in range(len(rows))]
+    want = sorted(((i, sum(a == k for a, _ in near), least[k], i is not None and i == least[k]) for k, i in enumerate(ids)), key=repr)
+    for kind in ("float", "double"):
+        d = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").withColumns({"v": F.lit(1), "n": F.lit(2), "rep": F.lit(3), "least": F.lit(4)})
+        for interval in (8, 4096):
+            got = embed.near_duplicates(d, interval=interval, block=4).collect()
+            assert sorted(map(tuple, got), key=repr) == want
     assert embed.near_duplicates(d.limit(0)).count() == 0
 
 
