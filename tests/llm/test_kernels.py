@@ -317,6 +317,31 @@ def test_matches():
     assert decontam.matches(b"", b) == [] and decontam.matches(b"w1", decontam.prepare([(1, b"")])) == []
 
 
+def planted(rng, least=0.8, most=0.85):
+    """An item and a text that holds a changed copy of it; similarity of the copy within the range."""
+    word = [f"w{i}" for i in range(3000)]
+    while True:
+        v = [rng.choice(word) for _ in range(rng.randrange(20, 160))]
+        p = list(v)
+        if rng.random() < 0.4:
+            n = rng.randrange(1, 1 + len(p) // 4)
+            p = p[n:] + [rng.choice(word) for _ in range(n)]
+        for _ in range(rng.randrange(0, 1 + len(p) // 20)):
+            p[rng.randrange(len(p))] = "zz"
+        a, b = (Counter(decontam.shingles([x.encode() for x in y], 5)) for y in (v, p))
+        if least <= 2 * (a & b).total() / (a.total() + b.total()) < most:
+            rest = [rng.choice(word) for _ in range(80)]
+            at = rng.randrange(len(rest))
+            return " ".join(v).encode(), " ".join(rest[:at] + p + rest[at:]).encode()
+
+
+def test_matches_recall():
+    """Of copies just above the similarity, the radius loses next to none."""
+    rng = random.Random(12)
+    found = [bool(decontam.matches(text, decontam.prepare([(1, item)]))) for item, text in (planted(rng) for _ in range(400))]
+    assert sum(found) >= 399
+
+
 # ---------------------------------------------------------------- HTML
 
 
