@@ -166,7 +166,8 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
         .select("doc_id", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(all - 1) div {top}")).cast("int"))).alias("piece"))
         .select("doc_id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("all") - F.col("piece").cast("long") * top).cast("int").alias("n_tokens"))
     )
-    pieces = staged(pieces, "pieces")
+    # The row's place parts many rows of one id.
+    pieces = staged(pieces.withColumn("place", F.monotonically_increasing_id()), "pieces")
     counts = {r["n_tokens"]: r["n"] for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most `top` rows
     done = plan(counts, sizes)
     # Salts of bounded groups; at most lengths + 4 * partitions of them, so their counts are few.
@@ -178,13 +179,13 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     hot = {k: int(s) for k, s in enumerate(salts) if s > 1}
     if hot:
         wide = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("n_tokens")), F.lit(1)) if len(hot) <= 512 else F.greatest(F.lit(1), F.element_at(F.lit(salts.tolist()), F.col("n_tokens") + 1).cast("int"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), wide).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "place"), wide).cast("int"))
     base: dict[tuple[int, int], int] = {}
     run: dict[int, int] = {}
     for r in sorted(salted.where("n_tokens > 0").groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()):
         base[r[0], r[1]] = run.get(r[0], 0)
         run[r[0]] = run.get(r[0], 0) + r[2]
-    place = salted.where("n_tokens > 0").withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")).cast("long") - 1)
+    place = salted.where("n_tokens > 0").withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece", "place")).cast("long") - 1)
     keys = np.array(sorted(base), np.int64).reshape(-1, 2)
     held = spark.sparkContext.broadcast((done.slots, done.sizes, keys[:, 0] << 32 | keys[:, 1], np.array([base[tuple(k)] for k in keys.tolist()], np.int64)))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontam, embed, html, langid, packing, quality, simhash, suffix, tokcount, tokenbin
 from .common import fold, table
@@ -41,8 +40,8 @@ def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): pieces of each text and one for its end."""
-    return tokcount.token_counts(docs, vocabulary_path()).select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"))
+    """(doc_id, n_tokens): ids of each text, as op4_token_bin writes them, with the end id."""
+    return tokenbin.lengths(docs, vocabulary_path())
 
 
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,10 @@ def fingerprint_links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     other. Not all links: a spanning forest of those of each pair of chunks."""
     seg = fps.select("fp", F.posexplode(F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("seg", "value"))
     values = staged(seg.groupBy("seg", "value").agg(F.count("*").alias("n")), "segments")
-    # Variant i >= 0 has bit i out; its key meets one value with that bit and one without it.
-    deleted = values.select("seg", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    # Variant i >= 0 has bit i out; its key meets one value with that bit and one without it. Dealt
+    # anew, as the written table may be few small files and each row makes 32.
+    spread = values.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    deleted = spread.select("seg", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
     bit = F.expr("shiftleft(1L, i)")
     variants = deleted.select(
         F.expr("shiftleft(cast(seg * 32 + i as bigint), 32)").bitwiseOR(F.col("value").bitwiseAND(F.bitwise_not(bit))).alias("key"),
@@ -142,8 +144,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, seed: int = SEED, chunk:
     # Written out: the join has a plain exchange on both sides, so AQE can split a large component.
     lowest = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     by_fp = staged(named.join(lowest, "root").select("fp", "component_id"), "classes")
-    dropped(named)
-    dropped(lowest)
+    for x in (distinct, named, lowest):
+        dropped(x)
     return members.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

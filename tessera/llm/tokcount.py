@@ -28,8 +28,8 @@ from .common import arrow, blobs
 
 WORD = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END = "</w>"
-#: Distinct words a worker remembers before it forgets all.
-REMEMBERED = 400_000
+#: Distinct chunks a worker remembers before it forgets all, and letters of the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -132,10 +132,15 @@ class Counter:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
+            total = 0
             for c in chunks:
-                if c not in known:
-                    known[c] = sum(map(self.word, WORD.findall(c)))
-            return sum([known[c] for c in chunks])
+                n = known.get(c)
+                if n is None:
+                    n = sum(map(self.word, WORD.findall(c)))
+                    if len(c) <= LONGEST:
+                        known[c] = n
+                total += n
+            return total
 
 
 def counter(path: str) -> Counter:

@@ -4,11 +4,14 @@ A file holds blocks of ids, each id in the least number of bits that the vocabul
 index of byte offsets, so that any block is read and unpacked alone with numpy. Layout, all numbers
 little-endian:
 
-    magic "TOKP", version u32, bits u32, block ids u32, documents u64, ids u64, blocks u64
+    magic "TOKP", version u32, bits u32, ids in a block u32
     blocks:    ceil(ids in block * bits / 8) bytes each
-    doc ids:   i64 for each document        doc ends: u64 for each document (ids up to its end)
-    offsets:   u64 for each block, and the end of the last
-    footer:    u64 place of the doc ids, u64 place of the offsets, magic "TOKP"
+    doc ids:   u64 documents, then i64 for each      doc ends: u64 for each document (ids up to its end)
+    offsets:   u64 offsets, then u64 for each block and for the end of the last
+    footer:    u64 place of the doc ids, u64 place of the offsets, u64 documents at the start that
+               have no id, magic "TOKP"
+
+Files are written in one pass, so all counts stand after the blocks.
 
 Files are written by the tasks of a range-partitioned, sorted table straight into a folder that all
 machines share, under a name of the attempt, and renamed when whole: a task that runs again writes
@@ -17,6 +20,7 @@ the same file again.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -35,8 +39,8 @@ from .common import arrow, blobs, new_path
 from .tokcount import END, byte_letters
 
 MAGIC = b"TOKP"
-HEAD = struct.Struct("<4sIIIQQQ")
-FOOT = struct.Struct("<QQ4s")
+HEAD = struct.Struct("<4sIII")
+FOOT = struct.Struct("<QQQ4s")
 BLOCK = 1 << 16
 #: Chunks that a worker remembers before it forgets all, and letters of the longest of them.
 REMEMBERED, SHORT = 600_000, 11
@@ -76,20 +80,25 @@ class Writer:
     def __init__(self, sink, bits: int, block: int = BLOCK) -> None:
         self.sink, self.bits, self.block = sink, bits, block
         self.docs: list[int] = []
+        self.nameless = 0
         self.ends: list[int] = []
         self.offsets = [HEAD.size]
         self.rest, self.held, self.ids = [], 0, 0
-        # The counts of the head are not known yet; readers take them from the tables.
-        self.sink.write(HEAD.pack(MAGIC, 1, bits, block, 0, 0, 0))
+        self.sink.write(HEAD.pack(MAGIC, 2, bits, block))
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.extend([doc_id], ids, np.array([len(ids)]))
 
-    def extend(self, doc_ids: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
-        """Documents one after the other: their ids in one array, and how many each has."""
+    def extend(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents one after the other: their ids in one array, and how many each has. Documents
+        without an id come before all others."""
         if len(ids) and int(ids.max()) >> self.bits:
             raise ValueError(f"an id does not fit in {self.bits} bits")
-        self.docs += doc_ids
+        none = sum(d is None for d in doc_ids)
+        if none and (self.nameless < len(self.docs) or any(d is not None for d in doc_ids[:none])):
+            raise ValueError("documents without an id come first")
+        self.nameless += none
+        self.docs += [0 if d is None else d for d in doc_ids]
         self.ends += (self.ids + np.cumsum(counts)).tolist()
         self.ids += len(ids)
         self.rest.append(ids)
@@ -114,7 +123,7 @@ class Writer:
         self.sink.write(np.array(self.ends, "<u8").tobytes())
         at = tables + 8 * (1 + 2 * len(self.docs))
         self.sink.write(np.array([len(self.offsets), *self.offsets], "<u8").tobytes())
-        self.sink.write(FOOT.pack(tables, at, MAGIC))
+        self.sink.write(FOOT.pack(tables, at, self.nameless, MAGIC))
 
 
 class Reader:
@@ -123,9 +132,9 @@ class Reader:
     def __init__(self, source) -> None:
         self.source = source
         size = source.size() if callable(getattr(source, "size", None)) else source.seek(0, os.SEEK_END)
-        magic, _, self.bits, self.block, *_ = HEAD.unpack(self._at(0, HEAD.size))
-        tables, offsets, end = FOOT.unpack(self._at(size - FOOT.size, FOOT.size))
-        if magic != MAGIC or end != MAGIC:
+        magic, version, self.bits, self.block = HEAD.unpack(self._at(0, HEAD.size))
+        tables, offsets, self.nameless, end = FOOT.unpack(self._at(size - FOOT.size, FOOT.size))
+        if magic != MAGIC or end != MAGIC or version != 2:
             raise ValueError("not a token file, or not whole")
         n = int(np.frombuffer(self._at(tables, 8), "<i8")[0])
         self.doc_ids = np.frombuffer(self._at(tables + 8, 8 * n), "<i8")
@@ -162,8 +171,20 @@ class Reader:
             k = last
 
 
+#: The splitting that lets a text be encoded by chunks: lower case, no piece across white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
-    """Encodes whole texts. Chunks between plain spaces and line ends are encoded once for each
+    """Encodes whole texts. A tokenizer with another normalizer or splitting than those above gets
+    whole texts as they are. With these, chunks between plain spaces and line ends are encoded once for each
     distinct chunk: the tokenizer's own splitting never crosses white space. Chunks of Latin letters
     alone are one pre-token each, which the normalizer only makes lower-case; so they go straight to
     the model, many at a time, and are parted again after each id that ends a word. Should the count
@@ -175,6 +196,9 @@ class Encoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_chunk = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[i for piece, i in vocab.items() if piece.endswith(END)]] = True
@@ -229,6 +253,9 @@ class Encoder:
         """The ids of all texts in one array, and how many each text has. Chunks are parted and
         numbered in Arrow, so only distinct ones come to Python; short ones are remembered from
         batch to batch, long ones seldom come again."""
+        if not self.by_chunk:
+            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, len(each))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         ready = []
@@ -307,7 +334,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
     machines share. Returns (part, n_docs, n_ids), a row for each file.
 
     Null texts count as empty; each document ends in end_id if one is given. Rows of equal doc_id
-    follow each other, ordered by text; a null doc_id comes first and is stored as the least long."""
+    follow each other in the order of the input, and may be in several files; a null doc_id comes
+    first."""
     bits = bits_for(max(vocabulary_size(tokenizer), (end_id or 0) + 1))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +351,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
                 got, n = encode.encode([t.decode("utf-8", "replace") for t in texts[part]])
                 if end_id is not None:
                     got, n = np.insert(got, np.cumsum(n), end_id), n + 1
-                writer.extend([-(2**63) if d is None else d for d in ids[part]], got, n)
+                writer.extend(ids[part], got, n)
         if writer:
             writer.close()
             writer.sink.close()
@@ -333,8 +361,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
     fs, root = _files(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return arrow(ordered, kernel, "part int, n_docs long, n_ids long")
+    # The row's place parts many rows of one id.
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    return arrow(ordered.select("doc_id", "text"), kernel, "part int, n_docs long, n_ids long")
 
 
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -354,7 +384,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
                     r = Reader(f)
                     crc = np.fromiter((zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in r.documents()), np.int64, len(r.ends))
                     n = np.diff(r.ends, prepend=0)
-                    null = r.doc_ids == -(2**63)
+                    null = np.arange(len(r.doc_ids)) < r.nameless
                     yield pa.record_batch([pa.array(r.doc_ids, mask=null), pa.array(first + r.ends - n), pa.array(n), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -364,6 +394,23 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     return arrow(listed, kernel, schema)
 
 
+def lengths(docs: DataFrame, tokenizer: str, end: bool = True) -> DataFrame:
+    """(doc_id, n_tokens): how many ids each row's whole text has in the files of write(), the end id
+    included if there is one. Null texts count as empty; all rows stay; other columns are ignored."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for b in batches:
+            texts = blobs(b.column(1))
+            n = [np.zeros(0, np.int64)]
+            for part in groups([len(x) for x in texts]):
+                n.append(encode.encode([t.decode("utf-8", "replace") for t in texts[part]])[1])
+            yield pa.record_batch([b.column(0), pa.array(np.concatenate(n).astype(np.int64) + bool(end))], names=["doc_id", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow(rows, kernel, "doc_id long, n_tokens long")
+
+
 def encode_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write docs to token files in the shared folder and return what the files hold."""
     spark = docs.sparkSession

@@ -29,6 +29,44 @@ def connected(n, links):
     return [find(i) for i in range(n)]
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  Words\n\tAnd MORE, it's", "", " ", "é\r\nx" * 50, "😀 12345"]
+    e, t = tokenbin.Encoder(path), Tokenizer.from_file(path)
+    assert not e.by_chunk and tokenbin.Encoder(vocabulary()).by_chunk
+    assert [x.tolist() for x in e.batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def least_cost(lengths, sizes):
+    """Least cost of any packing, by trying all."""
+    best = [10**9]
+
+    def go(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(min(s for s in sizes if s >= b) + packing.BIN_COST for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(sizes) and bins[k] not in bins[:k]:
+                go(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_least_cost():
+    rng = random.Random(9)
+    sizes = (64, 128, 256)
+    ratios = []
+    for _ in range(150):
+        lengths = sorted((rng.randrange(1, 257) for _ in range(rng.randrange(1, 8))), reverse=True)
+        ratios.append(packing.plan(dict(Counter(lengths)), sizes).cost / least_cost(lengths, sizes))
+    assert min(ratios) >= 1 and max(ratios) <= 1.5 and sum(ratios) / len(ratios) < 1.06
+
+
 @given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32))
 def test_spanning_keeps_connection(h, w, seed):
     m = np.random.default_rng(seed).random((h, w)) < 0.2
