@@ -1,9 +1,11 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page becomes a sequence of text blocks. A linear classifier on where a block stands (its
-elements, their class and id words) and what it is like (length, links, sentence ends) gives a cost
-for calling it content and one for calling it boilerplate: the capacities of its edges to the two
-terminals. Neighbouring blocks, more so under one parent, and siblings across what stands between
+A page becomes a sequence of text blocks. A classifier gives a cost for calling a block content and
+one for calling it boilerplate: the capacities of its edges to the two terminals. It adds where the
+block stands (its elements, their classes and ids) and what it is like (length, links, sentences,
+depth, place). The weights of the latter are fitted to the pages themselves, all of them: blocks of
+marked articles against blocks of menus, footers, sidebars and forms, by counts of binned features
+(naive Bayes), so that they judge the blocks of pages that mark nothing. Neighbouring blocks, more so under one parent, and siblings across what stands between
 them are joined by smoothness edges. The minimum cut is the labelling of least total cost; blocks on
 the content side are returned in page order.
 """
@@ -11,10 +13,12 @@ the content side are returned in page order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,36 +38,112 @@ CLOSES = {
 }
 CLOSES |= {x: {"p"} for x in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 SCOPES = frozenset("article section div main body table ul ol nav aside footer header form td th blockquote dl".split())
-#: Elements and words of class, id or role that mark furniture.
+#: Elements that are furniture, and words of class, id or role that name it: surely, or where nothing speaks against.
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
-WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar
-    navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal
-    overlay newsletter subscribe signup login comment comments commentlist reply replies disqus discussion share sharing social
-    related recommended recommendations widget pagination pager toolbar skip copyright legal disclaimer
-    complementary contentinfo search""".split()
+SURE = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion
+    banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar toolbar cookie
+    cookies consent gdpr newsletter subscribe signup login comment comments commentlist replies disqus pager pagination
+    contentinfo complementary""".split()
+)
+LIKELY = frozenset(
+    """header footer notice notices alert alerts popup popups modal overlay discussion reply share sharing social related
+    recommended recommendations widget widgets skip copyright legal disclaimer search""".split()
+)
+#: Words for a part of a page, which leave the meaning to the word before.
+PARTS = frozenset(
+    """area bar block blocks body bottom box button buttons container content entry form group head icon icons inner item items left
+    link links list main outer page panel panels post posts right row section sections site slot text thread title top unit wrap wrapper""".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What can end a tag or open a quoted value.
+_STOP = re.compile(r"[<>]|=\s*+[\"']")
+_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_END = re.compile(r"[.!?…。]")
+_ENDS = ".!?…。"
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, whether it is an end tag) of each tag; comments and
+    declarations have no name. Linear in the length: each look ahead is either part of what is
+    returned or turns itself off."""
+    at, size, quotes = 0, len(html), True
+    while True:
+        at = html.find("<", at)
+        if at < 0:
+            return
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            yield at, end, "", "", False
+            at = end
+            continue
+        if html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            if end < 0:
+                return
+            yield at, end + 1, "", "", False
+            at = end + 1
+            continue
+        closing = html.startswith("</", at)
+        m = _NAME.match(html, at + 1 + closing)
+        if not m:
+            at += 1
+            continue
+        begin = place = m.end()
+        stop = -1
+        while quotes:
+            found = _STOP.search(html, place)
+            if not found:
+                quotes = False
+            elif found[0] in "<>":
+                stop = found.start()
+                break
+            else:
+                place = html.find(found[0][-1], found.end()) + 1
+                quotes = place > 0
+        if stop < 0:
+            # A quote that is never closed: from here on the next > ends a tag.
+            stop = html.find(">", begin)
+            if stop < 0:
+                return
+        end = stop + (html[stop] == ">")
+        new = yield at, end, m[0].lower(), html[begin:stop], closing
+        at = end if new is None else new
+
+
+def furniture(classes: str) -> float:
+    """How much a class, id or role says that an element is furniture: 1 for a sure word, less for a
+    likely one, 0 for none. A name of several words counts by its last (a cookie notice is a notice,
+    a notice board is none), or by its first before words for parts of a page."""
+    most = 0.0
+    for name in classes.lower().split():
+        words = _WORD.findall(name)
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        if words:
+            last = words[-1]
+            most = max(most, 1.0 if last in SURE or last in LIKELY and not SURE.isdisjoint(words) else 0.6 if last in LIKELY else 0.0)
+    return most
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    words: frozenset[str] = frozenset()
-    hidden: bool = False
-    silent: bool = False
-    inside: bool = False  # of the article
-    furniture: float = 0.0
-    number: int = 0
+    """An open element: what its own and its parents' marks say."""
+
+    __slots__ = ("block", "depth", "furniture", "hidden", "inside", "marks", "name", "number", "parent", "silent")
+
+    def __init__(self, name: str, parent: Element | None, number: int = 0) -> None:
+        self.name, self.parent, self.number = name, parent, number
+        self.depth = parent.depth + 1 if parent else 0
+        self.silent = name in SILENT or bool(parent and parent.silent)
+        self.hidden = bool(parent and parent.hidden)
+        self.inside = bool(parent and parent.inside)  # of the article
+        self.furniture = parent.furniture if parent else 0.0  # by elements
+        self.marks = parent.marks if parent else 0.0  # by classes
+        #: The element that holds the text: this, or the one that an inline element is in.
+        self.block: Element = parent.block if parent and name in INLINE else self
 
 
 @dataclass
@@ -75,42 +155,47 @@ class Block:
 
 
 def _element(name: str, attrs: str, parent: Element, number: int) -> Element:
-    words, hidden = set(), False
+    e = Element(name, parent, number)
+    classes = ""
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "style":
-                hidden |= "display:none" in value.replace(" ", "")
+                e.hidden |= "display:none" in value.replace(" ", "")
             elif key == "hidden":
-                hidden = True
+                e.hidden = True
             elif key == "aria-hidden":
-                hidden |= value == "true"
+                e.hidden |= value == "true"
             else:
-                words.update(_WORD.findall(value))
-    e = Element(name, parent, frozenset(words), parent.hidden or hidden, parent.silent or name in SILENT, parent.inside, parent.furniture, number)
+                classes += " " + value
     if name in ("html", "body"):
         return e
     if name in ("article", "main"):
-        e.inside = True
+        e.inside, e.hidden = True, parent.hidden
         return e
-    marks = words & WORDS
-    if name in FURNITURE:
-        e.furniture += 6
-    if name == "header":
+    mark = furniture(classes) if classes else 0.0
+    if name in FURNITURE or name == "header" and not parent.inside:
         # The head of the page goes; the head of an article holds its title.
-        e.furniture += 0 if parent.inside else 6
-        marks -= {"header"} if parent.inside else set()
-    if marks and not (name in INLINE and parent.inside):
         e.furniture += 6
-    elif words & CONTENT_WORDS and not parent.furniture:
+    if e.inside:
+        # In the article, its own text elements are rarely furniture, and hidden text is still its text.
+        e.hidden = parent.hidden
+        if name in INLINE or name == "header" or "header" in classes:
+            mark = 0.0
+        elif name in ("p", "li", "ul", "ol", "dl", "blockquote", "table", "pre", *HEADINGS) and mark < 1:
+            mark /= 4
+    elif not mark and not parent.furniture and not parent.marks and set(_WORD.findall(classes)) & CONTENT_WORDS:
         e.inside = True
+    e.marks = max(parent.marks, 6 * mark)
     return e
 
 
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order, white space folded; silent and hidden text is left out."""
+    """The text blocks of a page in order, white space folded; silent text is left out, and hidden
+    text outside an article."""
     root = Element("#root", None)
     stack, out, current = [root], [], None
+    opened: Counter[str] = Counter()
     at, number, links = 0, 0, 0
 
     def text(s: str) -> None:
@@ -123,10 +208,7 @@ def blocks(html: str) -> list[Block]:
         if "&" in s:
             s = unescape(s)
         if current is None:
-            holder = top
-            while holder.name in INLINE:
-                holder = holder.parent
-            current = Block(holder)
+            current = Block(top.block)
             out.append(current)
         current.parts.append(s)
         if links:
@@ -136,82 +218,157 @@ def blocks(html: str) -> list[Block]:
         nonlocal links
         for e in stack[to:]:
             links -= e.name == "a"
+            opened[e.name] -= 1
         del stack[to:]
 
-    size, folded = len(html), None
-    while at < size:
-        m = _TOKEN.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        name = name.lower()
-        if name not in INLINE:
-            current = None
-        if m[1] or m[4]:
+    def close_nearest(names: set[str] | frozenset[str], not_beyond: frozenset[str] = frozenset()) -> None:
+        if any(opened[n] > 0 for n in names):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
+                if stack[k].name in names:
                     close(k)
                     break
-                # An inline end tag does not reach out of its block.
-                if name in INLINE and stack[k].name not in INLINE:
+                if stack[k].name in not_beyond:
                     break
-            continue
-        attrs = m[3] if m[2] else m[6]
-        if name in VOID:
-            if name == "br" and stack[-1].name in INLINE | {"p"}:
-                pass
-            continue
-        shut = CLOSES.get(name)
-        if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in shut:
-                    close(k)
-                    break
-                if stack[k].name in SCOPES:
-                    break
-        if name in ("nav", "footer", "aside", "header", "article", "main", "section", "div", "form", "h1", "p"):
-            # Inline elements left open end with their block.
-            while len(stack) > 1 and stack[-1].name in INLINE:
-                close(len(stack) - 1)
-        if name == "body":  # a head that was never closed
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "head":
-                    close(k)
-                    break
-        if attrs.rstrip().endswith("/") and name not in RAW:
-            continue
-        if name in RAW:
-            folded = folded if folded is not None else html.lower()
-            end = (folded if len(folded) == size else html).find(f"</{name}", at)
-            stop = html.find(">", end) if end >= 0 else -1
-            at = stop + 1 if stop >= 0 else size
-            continue
-        number += 1
-        e = _element(name, attrs, stack[-1], number)
-        stack.append(e)
-        links += name == "a"
+
+    size, folded = len(html), None
+    tags = tokens(html)
+    tag = next(tags, None)
+    while tag:
+        start, end, name, attrs, closing = tag
+        text(html[at:start])
+        at, skip = end, None
+        if name and name not in INLINE:
+            current = None
+        if not name or name in VOID:
+            pass
+        elif closing:
+            if opened[name] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        close(k)
+                        break
+                    # An inline end tag does not reach out of its block.
+                    if name in INLINE and stack[k].name not in INLINE:
+                        break
+        else:
+            shut = CLOSES.get(name)
+            if shut:
+                close_nearest(shut, SCOPES)
+            if name in ("nav", "footer", "aside", "header", "article", "main", "section", "div", "form", "h1", "p"):
+                # Inline elements left open end with their block.
+                while len(stack) > 1 and stack[-1].name in INLINE:
+                    close(len(stack) - 1)
+            if name == "body":  # a head that was never closed
+                close_nearest({"head"})
+            if name in RAW:
+                folded = folded if folded is not None else html.lower()
+                last = (folded if len(folded) == size else html).find(f"</{name}", at)
+                stop = html.find(">", last) if last >= 0 else -1
+                at = skip = stop + 1 if stop >= 0 else size
+            elif not attrs.rstrip().endswith("/"):
+                number += 1
+                stack.append(_element(name, attrs, stack[-1], number))
+                opened[name] += 1
+                links += name == "a"
+        try:
+            tag = tags.send(skip)
+        except StopIteration:
+            tag = None
+    text(html[at:])
     for b in out:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in out if b.text]
 
 
-def score(block: Block, marked: bool) -> float:
-    """Log-odds that a block is content; the weights are fixed by hand on the features named.
-    marked: the page marks its article, so what stands outside is likely not part of it."""
-    e = block.parent
-    n = len(block.text)
-    s = 0.2 + 3.0 * e.inside - 1.6 * e.furniture - 2.5 * (marked and not e.inside)
-    s += 1.2 * min(1.0, n / 200) + 0.8 * bool(_END.search(block.text))
-    if e.name in HEADINGS:
-        s += 1.0
-    if n:
-        s -= 2.5 * min(1.0, block.linked / n)
-    return s
+KINDS = {"p": 0, "li": 1, "dd": 1, "dt": 1, "td": 2, "th": 2, **dict.fromkeys(HEADINGS, 3)}
+BINS = 16
+#: Blocks of each side that a fit takes at least; else the weights below are used.
+LEAST_BLOCKS = 50
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """A row of bins (0 to BINS - 1) for each block: length, linked share, sentence ends, element,
+    depth, place in the page."""
+    out = []
+    for i, b in enumerate(found):
+        n = len(b.text)
+        ends = sum(map(b.text.count, _ENDS))
+        out.append(
+            (
+                min(BINS - 1, n.bit_length()),
+                -(-8 * min(b.linked, n) // n),
+                min(BINS - 1, ends and 1 + 200 * ends // (n + 100)),
+                KINDS.get(b.parent.name, 4),
+                min(BINS - 1, b.parent.depth),
+                8 * i // len(found),
+            )
+        )
+    return np.array(out, np.int64).reshape(-1, 6)
+
+
+#: Log-odds by feature and bin where no pages have marks to fit to: longer, unlinked sentences are content.
+PLAIN = np.zeros((6, BINS))
+PLAIN[0] = np.minimum(1.2, 2.0 ** np.arange(BINS) / 250)
+PLAIN[1, :9] = -2.5 * np.arange(9) / 8
+PLAIN[2, 1:] = 0.8
+PLAIN[3, 3] = 1.0
+
+
+def _counts(found: list[Block]) -> np.ndarray:
+    """Blocks by side (furniture, article), feature and bin, of a page that marks its article."""
+    total = np.zeros((2, 6, BINS), np.int64)
+    if any(b.parent.inside for b in found):
+        x = features(found)
+        side = np.array([1 if b.parent.inside and not b.parent.furniture and not b.parent.marks else 0 if b.parent.furniture else -1 for b in found])
+        for k in (0, 1):
+            for j in range(6):
+                total[k, j] = np.bincount(x[side == k, j], minlength=BINS)
+    return total
+
+
+def weights(total: np.ndarray) -> np.ndarray:
+    """Log-odds of each bin from the counts. Features are not independent, so half of their sum counts."""
+    if total[:, 0].sum(1).min() < LEAST_BLOCKS:
+        return PLAIN
+    share = (total + 1.0) / (total.sum(2, keepdims=True) + BINS)
+    return 0.5 * np.log(share[1] / share[0])
+
+
+def fit(pages: DataFrame) -> np.ndarray:
+    """The weights of the text features from all pages (html): 2 x 6 x BINS counts, whatever the
+    number of pages."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 6, BINS), np.int64)
+        for b in batches:
+            for x in blobs(b.column(0)):
+                total += _counts(blocks(x.decode("utf-8", "replace")))
+        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], names=["i", "n"])
+
+    rows = arrow(pages.select(F.col("html").cast("string").alias("html")), kernel, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(2 * 6 * BINS, np.int64)
+    for r in rows:
+        total[r["i"]] = r["n"]
+    return weights(total.reshape(2, 6, BINS))
+
+
+#: Most that the text of a block counts for, against its marks.
+TEXT_LIMIT = 2.5
+
+
+def scores(found: list[Block], fitted: np.ndarray = PLAIN) -> list[float]:
+    """Log-odds that each block is content. What the page marks counts most; a mark by a class that
+    holds most of the text of a page without an article is no mark."""
+    marked = any(b.parent.inside for b in found)
+    whole = sum(len(b.text) for b in found)
+    by_class = sum(len(b.text) for b in found if b.parent.marks and not b.parent.furniture)
+    believed = marked or 2 * by_class < whole
+    text = np.clip(fitted[np.arange(6), features(found)].sum(1), -TEXT_LIMIT, TEXT_LIMIT)
+    out = []
+    for b, t in zip(found, text.tolist(), strict=True):
+        e = b.parent
+        out.append(0.2 + t + 4.0 * e.inside - 1.6 * (e.furniture + e.marks * believed) - 3.5 * (marked and not e.inside) + 0.5 * (e.name in HEADINGS))
+    return out
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -304,24 +461,26 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
-def extract(html: str) -> str:
+def extract(html: str, fitted: np.ndarray = PLAIN) -> str:
     """The main text of a page: content blocks joined by one space."""
     found = blocks(html)
-    marked = any(b.parent.inside for b in found)
-    labels = min_cut([score(b, marked) for b in found], smoothness(found)) if found else []
+    labels = min_cut(scores(found, fitted), smoothness(found)) if found else []
     return " ".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars): one row for each row of pages (page_id, url, html).
+def main_text(pages: DataFrame, fitted: np.ndarray | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars): one row for each row of pages (page_id, url, html). The weights
+    of text features are fitted to these pages unless they are given.
 
     A null or empty html, or one without content, gives an empty text of 0 characters; bytes that
     are not UTF-8 are replaced; equal rows are all returned; an empty table gives an empty result;
     other columns are ignored."""
 
+    model = fit(pages) if fitted is None else fitted
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(x.decode("utf-8", "replace")) for x in blobs(b.column(2))]
+            texts = [extract(x.decode("utf-8", "replace"), model) for x in blobs(b.column(2))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), kernel, "page_id long, url string, text string, n_chars long")
