@@ -9,6 +9,7 @@ it is the random dense code of largest minimum distance among a fixed number of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,19 +86,20 @@ class Model:
         return vote.argmax(1), vote.max(1), gap
 
 
-def train(texts: list[bytes], langs: list[str], steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> Model:
-    """Fit the bit classifiers; each text counts whole and, if long, by its first words too, so
-    that short texts are met in training. Deterministic."""
+def examples(text: bytes) -> list[np.ndarray]:
+    """What a labelled text is learned by: its whole, and if it is long its first words too, so that
+    short texts are met in training."""
+    short = text[: 24 + 8 * (zlib.crc32(text) % 8)]
+    return [profile(t).astype(np.float32) for t in ([text, short] if len(text) > 100 else [text])]
+
+
+def train(x: np.ndarray, langs: list[str], steps: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> Model:
+    """Fit the bit classifiers to profiles (rows of x, single precision). Deterministic."""
     names = sorted(set(langs))
     code = codewords(len(names))
     if not names:
         return Model([], code, np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1]))
-    rows = [(t, y) for t, y in zip(texts, langs, strict=True)]
-    rows += [(t[: 24 + 8 * (i % 8)], y) for i, (t, y) in enumerate(rows) if len(t) > 100]
-    x = np.empty((len(rows), BUCKETS), np.float32)
-    for i, (t, _) in enumerate(rows):
-        x[i] = profile(t)
-    target = np.array([names.index(y) for _, y in rows])
+    target = np.array([names.index(y) for y in langs])
     each = np.bincount(target, minlength=len(names))
     weight = (1.0 / each[target] / len(names)).astype(np.float32)[:, None]
     sign = code[target].astype(np.float32)
@@ -136,8 +138,27 @@ def fit(labelled: DataFrame, most: int = FIT_ROWS) -> Model:
     if large:
         limit = F.create_map(*[F.lit(x) for kv in sorted(large.items()) for x in kv])[F.col("lang")]
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(0)), F.lit(1 << 40)) < F.coalesce(limit, F.lit(1 << 40)))
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
-    return train(blobs(found.column("text")), found.column("lang").to_pylist())
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Texts are described where they are: the driver gets at most BUCKETS numbers for an example.
+        for b in batches:
+            ids, texts, langs = b.column(0).to_pylist(), blobs(b.column(1)), b.column(2).to_pylist()
+            for at in range(0, len(texts), 64):
+                out = [(d, y, zlib.crc32(t), k, x) for d, t, y in zip(ids[at : at + 64], texts[at : at + 64], langs[at : at + 64], strict=True) for k, x in enumerate(examples(t))]
+                some = [np.flatnonzero(r[4]) for r in out]
+                columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32()))]
+                yield pa.record_batch([*columns, pa.array([i.astype(np.int16) for i in some], pa.list_(pa.int16())), pa.array([r[4][i] for r, i in zip(out, some, strict=True)], pa.list_(pa.float32()))], names=["doc_id", "lang", "crc", "k", "at", "x"])
+
+    plain = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    found = arrow(plain, kernel, "doc_id long, lang string, crc long, k int, at array<smallint>, x array<float>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("crc", "ascending"), ("lang", "ascending"), ("k", "ascending")])
+    x = np.zeros((found.num_rows, BUCKETS), np.float32)
+    row = 0
+    for chunk in found.to_batches(max_chunksize=256):
+        for places, values in zip(chunk.column("at"), chunk.column("x"), strict=True):
+            x[row, places.values.to_numpy()] = values.values.to_numpy()
+            row += 1
+    return train(x, found.column("lang").to_pylist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,6 +12,7 @@ word repetition and compressibility, all over the whole text.
 from __future__ import annotations
 
 import operator
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -40,9 +41,22 @@ _CLASSES[[*b"!?"]] = 6
 _CLASSES[0x80:0xC0] = 7
 _CLASSES[0xC0:] = 8
 N_CLASSES = 10
+_WHITE = re.compile(rb"\s")
 FEATURES = N_CLASSES + 8
 
 
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text in lists of bounded size (but for a longer word)."""
+    at = 0
+    while at < len(text):
+        m = _WHITE.search(text, at + (1 << 20))
+        end = m.start() if m else len(text)
+        words = text[at:end].lower().split()
+        if words:
+            yield words
+        at = end
+
+
 def features(text: bytes) -> np.ndarray:
     """The description of one whole text; zeros for an empty one."""
     x = np.zeros(FEATURES)
@@ -57,11 +71,17 @@ def features(text: bytes) -> np.ndarray:
     packed += len(packer.flush())
     letters = counts[0] + counts[1] + counts[8]
     x[:N_CLASSES] = np.sqrt(counts / len(text))
-    words = text.split()
-    n = max(1, len(words))
-    lower = [w.lower() for w in words]
-    again = sum(map(operator.eq, lower, lower[1:])) / n
-    fresh = len(set(lower)) / n
+    n = again = single = 0
+    seen: set[bytes] = set()
+    last = None
+    for lower in _words(text):
+        n += len(lower)
+        again += (lower[0] == last) + sum(map(operator.eq, lower, lower[1:]))
+        single += sum(map((1).__eq__, map(len, lower)))
+        seen.update(lower)
+        last = lower[-1]
+    n = max(1, n)
+    again, fresh = again / n, len(seen) / n
     x[N_CLASSES:] = (
         counts[1] / max(1.0, letters),
         min(1.0, counts[9] / n),
@@ -70,7 +90,7 @@ def features(text: bytes) -> np.ndarray:
         max(0.0, 0.3 - fresh) if n > 30 else 0.0,
         max(0.0, 0.35 - packed / len(text)) if len(text) > 200 else 0.0,
         min(1.0, (len(text) / n) / 20),
-        sum(map((1).__eq__, map(len, words))) / n,
+        single / n,
     )
     return x
 

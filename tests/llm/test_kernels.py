@@ -467,12 +467,13 @@ def test_codewords():
 
 def test_language_model_small():
     texts = [f"the and of with {i} this that".encode() for i in range(30)] + [f"der und mit nicht {i} das eine".encode() for i in range(30)]
-    m = langid.train(texts, ["en"] * 30 + ["de"] * 30, steps=60)
+    m = langid.train(np.vstack([langid.examples(t)[0] for t in texts]), ["en"] * 30 + ["de"] * 30, steps=60)
     best, vote, _ = m.decode(np.vstack([langid.profile(b"with that of"), langid.profile(b"nicht eine und")]).astype(np.float32))
     assert [m.names[i] for i in best] == ["en", "de"] and ((0 <= vote) & (vote <= 1)).all()
-    none = langid.train([], [])
+    none = langid.train(np.zeros((0, langid.BUCKETS), np.float32), [])
     assert none.names == [] and none.decode(np.zeros((2, langid.BUCKETS), np.float32))[0].tolist() == [0, 0]
-    one = langid.train([b"abc"], ["xx"], steps=3)
+    one = langid.train(np.vstack(langid.examples(b"abc")), ["xx"], steps=3)
+    assert len(langid.examples(b"abc " * 30)) == 2
     assert one.names == ["xx"] and one.decode(langid.profile(b"abc")[None].astype(np.float32))[0].tolist() == [0]
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import decontam, queries
+from tessera.llm import decontam, nearcopies, queries
 from tessera.llm.common import table
 
-from .test_kernels import brute_matches, repeated
-from .test_operators import brute_simhash
+from .test_kernels import brute_matches, connected, repeated
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
@@ -56,7 +55,11 @@ def test_pipeline_stages(spark):
     assert kept > 0.97 and good.join(labels, "doc_id").count() > 0.9 * labels.where("quality = 1").count()
     one = stages["simhash"](spark, good, FOLDER).collect()
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    want = {i for i, _, c in brute_simhash(rows) if i == c}
+    # Five-word shingles of similarity 0.8, as the stage links them.
+    found = [nearcopies.shingles(t.encode()) for _, t in rows]
+    alike = [(i, j) for i, a in enumerate(found) for j, b in enumerate(found[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    group = connected(len(rows), alike)
+    want = {min(rows[j][0] for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows))}
     assert sorted(r["doc_id"] for r in one) == sorted(want)
     once = spark.createDataFrame(one, docs.schema)
     cut = {r["doc_id"]: r["text"] for r in stages["suffix"](spark, once, FOLDER).collect()}
@@ -74,6 +77,30 @@ def test_pipeline_stages(spark):
             assert bool(brute_matches(r["text"].encode(), items)) == (r["doc_id"] in dirty)
 
 
+def test_pipeline_stages_keep_odd_rows(spark):
+    """Null and repeated ids, null, empty, long and equal texts, further columns with clashing names,
+    and no rows, in every stage that returns documents; the last gives each of them a place."""
+    odd = [(None, None), (None, ""), (None, "one text"), (None, "another text"), (3, "a text of its own"), (3, "and a second one"), (4, "word " * 200), (5, "same text here"), (6, "same text here"), (7, " ".join(f"w{i}" for i in range(30000)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("_node", "root", "th", "fp", "key", "node", "score", "spans")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns and stage(spark, docs.limit(0), FOLDER).count() == 0, name
+        kept = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
+        every = sorted((str(i), t or "") for i, t in odd)
+        if name == "simhash":
+            gone = [("6", "same text here"), ("None", "")]  # a copy, and one of two texts without words
+            assert kept == [x for i, x in enumerate(every) if x not in gone or x == ("None", "") and i == every.index(x)], kept
+        elif name == "suffix":
+            assert len(kept) == len(every) and ("4", "") in kept  # "word " repeats itself
+        elif name == "decontaminate":
+            assert kept == every
+        else:
+            assert set(kept) <= set(every)
+    placed = dict(corpus_pipeline.STAGES)["pack"](spark, docs, FOLDER)
+    assert {r["doc_id"] for r in placed.collect()} == {None, 3, 4, 5, 6, 7}
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "bin_id", "bin_size", "bin_offset"} <= set(out.columns) and out.count() > 0
