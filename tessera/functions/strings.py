@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import blank, col
 
@@ -29,8 +29,9 @@ def letter_bits(b: str) -> dict[str, int]:
     return where
 
 
-def lcs_bits(where: dict[str, int], n: int, a: str) -> int:
-    """LCS of a text with one of n letters whose bits are given."""
+def lcs_row(where: dict[str, int], n: int, a: str) -> int:
+    """A row of n bits for a text of n letters whose bits are given: the zeros among the first k are
+    the LCS of `a` with the first k letters, for every k at once."""
     full = row = (1 << n) - 1
     get = where.get
     for ch in a:
@@ -38,7 +39,12 @@ def lcs_bits(where: dict[str, int], n: int, a: str) -> int:
         if m:
             hit = row & m
             row = (row + hit | row - hit) & full
-    return n - row.bit_count()
+    return row
+
+
+def lcs_bits(where: dict[str, int], n: int, a: str) -> int:
+    """LCS of a text with one of n letters whose bits are given."""
+    return n - lcs_row(where, n, a).bit_count()
 
 
 def lcs(a: str, b: str) -> int:
@@ -53,29 +59,40 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if not n else 1.0 if a == b else 2 * lcs(a, b) / n
 
 
+def _hanging(short: str, long: str, best: float) -> float:
+    """Best ratio, if above `best`, of a text with the shorter starts of the other: one row has them all."""
+    n = len(short)
+    part = long[: n - 1]
+    row = lcs_row(letter_bits(part), len(part), short)
+    for k in range(len(part), 0, -1):
+        if 2 * k / (n + k) <= best:
+            break
+        best = max(best, 2 * (k - (row & (1 << k) - 1).bit_count()) / (n + k))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with the windows of the longer one; windows that hang over
-    either end count too. Texts of equal length are tried both ways round. Windows that could not
-    beat the best so far, by their length, are skipped."""
+    either end count too. Texts of equal length are tried both ways round.
+
+    The LCS of neighbouring windows differs by at most one, so windows that cannot beat the best
+    are skipped; those that hang over an end are read off one row for each end."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     if len(a) > len(b):
         a, b = b, a
     if a in b:
         return 1.0
-    best = 0.0
+    n, where = len(a), letter_bits(a)
+    most = i = 0
+    while i <= len(b) - n:
+        shared = lcs_bits(where, n, b[i : i + n])
+        most = max(most, shared)
+        i += most - shared + 1
+    best = most / n
     for short, long in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
-        n, where = len(short), letter_bits(short)
-        for i in range(len(long) - n + 1):
-            # A best window ends with a shared letter.
-            if long[i + n - 1] in where:
-                best = max(best, lcs_bits(where, n, long[i : i + n]) / n)
-        for k in range(n - 1, 0, -1):
-            if 2 * k / (n + k) <= best:
-                break
-            for part, last in ((long[:k], long[k - 1]), (long[-k:], long[-k])):
-                if last in where:
-                    best = max(best, 2 * lcs_bits(where, n, part) / (n + k))
+        best = _hanging(short, long, best)
+        best = _hanging(short[::-1], long[::-1], best)
     return best
 
 
@@ -113,17 +130,32 @@ def partial_token_set(a: str, b: str) -> float:
 def weighted_ratio(a: str, b: str) -> float:
     """The best of ratio and weighted token and partial ratios; partial ones count where one text
     is at least half as long again as the other."""
-    if not a or not b:
-        return 0.0
-    far = max(len(a), len(b)) / min(len(a), len(b))
-    best = ratio(a, b)
-    token = max(token_sort_ratio(a, b), token_set_ratio(a, b))
-    if far < 1.5:
-        return max(best, 0.95 * token)
-    scale = 0.9 if far <= 8 else 0.6
-    best = max(best, scale * partial_ratio(a, b))
-    partial = max(partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), partial_token_set(a, b))
-    return max(best, 0.95 * scale * partial)
+    return all_ratios(a, b, ("weighted_ratio",))[0]
+
+
+def all_ratios(a: str, b: str, kinds: tuple[str, ...]) -> tuple[float, ...]:
+    """Several ratios of a pair; what one needs of another is computed once."""
+    known: dict[str, float] = {}
+
+    def get(kind: str) -> float:
+        if kind not in known:
+            known[kind] = weighted() if kind == "weighted_ratio" else _RATIOS[kind](a, b)
+        return known[kind]
+
+    def weighted() -> float:
+        if not a or not b:
+            return 0.0
+        far = max(len(a), len(b)) / min(len(a), len(b))
+        if far < 1.5:
+            return max(get("ratio"), 0.95 * max(get("token_sort_ratio"), get("token_set_ratio")))
+        scale = 0.9 if far <= 8 else 0.6
+        sorted_tokens = partial_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+        return max(get("ratio"), scale * get("partial_ratio"), 0.95 * scale * max(sorted_tokens, partial_token_set(a, b)))
+
+    return tuple(get(k) for k in kinds)
+
+
+_RATIOS = {f.__name__: f for f in (ratio, partial_ratio, token_sort_ratio, token_set_ratio)}
 
 
 def jaro_winkler(a: str, b: str, prefix: float = 0.1) -> float:
@@ -168,6 +200,23 @@ def similarity(kind: str, a: str | Column, b: str | Column) -> Column:
     return _KERNELS[kind](blank(a), blank(b))
 
 
+def similarities(kinds: tuple[str, ...], a: str | Column, b: str | Column) -> Column:
+    """A struct of several ratios of two columns, by the names of their functions; null counts as empty.
+    A batch is worked on by distinct pairs, and ratios share what they have in common."""
+
+    @pandas_udf(StructType([StructField(k, DoubleType()) for k in kinds]))
+    def kernel(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        known: dict[tuple[str, str], tuple[float, ...]] = {}
+        out = []
+        for p in zip(x, y, strict=True):
+            if p not in known:
+                known[p] = all_ratios(p[0] or "", p[1] or "", kinds)
+            out.append(known[p])
+        return pd.DataFrame(out, columns=list(kinds), dtype="float64")
+
+    return kernel(blank(a), blank(b))
+
+
 def token_jaccard(a: str | Column, b: str | Column, both_empty: float = 0.0) -> Column:
     """Shared over all distinct tokens of two cleaned texts."""
     x, y = (F.filter(F.array_distinct(F.split(blank(c), " ")), lambda t: t != "") for c in (a, b))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.strings import similarity, token_jaccard
+from ..functions.strings import similarities, similarity, token_jaccard
 from ..operators import features
 from .base import query, r6, table
 
@@ -47,20 +47,86 @@ def token_jaccard_turns(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", r6(token_jaccard("a", "b")).alias("jaccard"))
 
 
-def _similarities(d, keys):
-    kinds = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
-    return d.select(*keys, *[r6(similarity(k, "a", "b")).alias(k) for k in kinds])
+RATIOS = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "weighted_ratio")
 
 
-@query()
+def _similarities(d, keys, kinds=RATIOS):
+    d = d.withColumn("_s", similarities(kinds, "a", "b"))
+    return d.select(*keys, *[r6(F.col(f"_s.{k}")).alias(k) for k in kinds])
+
+
+# The oracle finds longest common subsequences by lists: a row holds those with each start of y, and is
+# rewritten for each letter of x as a running maximum.
+
+
+def _row(x: str, y: str) -> str:
+    hits = f"list_transform(string_split({x}, ''), lambda c: list_transform(string_split({y}, ''), lambda d: CAST(c = d AS INTEGER)))"
+    step = "list_transform(range(1, len(r) + 1), lambda t: greatest(r[t], (CASE WHEN t > 1 THEN r[t - 1] ELSE 0 END) + m[t]))"
+    running = f"list_transform([{step}], lambda q: list_transform(range(1, len(q) + 1), lambda j: list_max(q[1:j])))[1]"
+    return f"list_reduce({hits}, lambda r, m: {running}, list_transform(string_split({y}, ''), lambda d: 0))"
+
+
+def _lcs(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} = '' OR {y} = '' THEN 0 ELSE {_row(x, y)}[-1] END)"
+
+
+def _ratio_sql(x: str, y: str) -> str:
+    return f"(CASE WHEN {x} = '' AND {y} = '' THEN 1.0 ELSE 2 * {_lcs(x, y)} / (length({x}) + length({y})) END)"
+
+
+def _hang_sql(x: str, y: str) -> str:
+    """Best ratio of x with the shorter starts of y."""
+    return f"coalesce(list_max(list_transform([{_row(x, y)}], lambda z: list_transform(range(1, length({x})), lambda k: 2 * z[k] / (length({x}) + k)))[1]), 0.0)"
+
+
+def _partial_sql(x: str, y: str) -> str:
+    """x is not longer than y; neither is empty."""
+    both = [(x, y), (f"reverse({x})", f"reverse({y})")]
+    whole = f"list_max(list_transform(range(1, length({y}) - length({x}) + 2), lambda i: {_row(x, f'substring({y}, i, length({x}))')}[-1])) / length({x})"
+    swapped = [f"CASE WHEN length({x}) = length({y}) THEN {_hang_sql(v, u)} ELSE 0.0 END" for u, v in both]
+    return f"greatest({whole}, {', '.join(_hang_sql(u, v) for u, v in both)}, {', '.join(swapped)})"
+
+
+def _ordered(x: str, y: str) -> str:
+    """A partial ratio whichever text is longer."""
+    return f"(CASE WHEN {x} = '' OR {y} = '' THEN CAST({x} = {y} AS DOUBLE) WHEN length({x}) <= length({y}) THEN {_partial_sql(x, y)} ELSE {_partial_sql(y, x)} END)"
+
+
+def ratios_sql(pairs: str, keys: str) -> str:
+    """The five ratios of a table of pairs (keys, a, b)."""
+    tokens = "list_filter(string_split({c}, ' '), lambda v: v <> '')"
+    return f"""d AS (SELECT DISTINCT a, b FROM {pairs}),
+k AS (SELECT a, b, list_sort({tokens.format(c="a")}) AS ta, list_sort({tokens.format(c="b")}) AS tb FROM d),
+w AS (SELECT a, b, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb, array_to_string(list_sort(list_distinct(list_filter(ta, lambda v: list_contains(tb, v)))), ' ') AS both_,
+ array_to_string(list_sort(list_distinct(list_filter(ta, lambda v: NOT list_contains(tb, v)))), ' ') AS oa, array_to_string(list_sort(list_distinct(list_filter(tb, lambda v: NOT list_contains(ta, v)))), ' ') AS ob FROM k),
+n AS (SELECT *, length(both_) + CAST(both_ <> '' AS INTEGER) + length(oa) AS na, length(both_) + CAST(both_ <> '' AS INTEGER) + length(ob) AS nb, length(oa) + length(ob) - 2 * {_lcs("oa", "ob")} AS apart FROM w),
+r AS (SELECT *, {_ratio_sql("a", "b")} AS ratio, {_ordered("a", "b")} AS partial_ratio, {_ratio_sql("sa", "sb")} AS token_sort_ratio,
+ CASE WHEN sa = '' OR sb = '' THEN 0.0 WHEN both_ <> '' AND (oa = '' OR ob = '') THEN 1.0 WHEN both_ = '' THEN 1 - apart / (na + nb)
+  ELSE greatest(1 - apart / (na + nb), 2 * length(both_) / (length(both_) + na), 2 * length(both_) / (length(both_) + nb)) END AS token_set_ratio,
+ {_ordered("sa", "sb")} AS ps, CASE WHEN both_ <> '' THEN 1.0 ELSE {_ordered("oa", "ob")} END AS pt, greatest(length(a), length(b)) / least(length(a), length(b)) AS far FROM n),
+s AS (SELECT *, CASE WHEN far < 1.5 THEN greatest(ratio, 0.95 * greatest(token_sort_ratio, token_set_ratio))
+  ELSE greatest(ratio, CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * partial_ratio, 0.95 * CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * greatest(ps, pt)) END AS weighted_ratio FROM r)
+SELECT {keys}, {", ".join(f"round({k}, 6) AS {k}" for k in RATIOS)} FROM {pairs} JOIN s USING (a, b)"""
+
+
+@query(f"WITH {NAMES}, {ratios_sql('names', 'c_custkey, s_suppkey')}")
 def ratio_names(spark, sf_dir):
+    """Texts of one token and of equal lengths."""
     return _similarities(name_pairs(spark, sf_dir), ("c_custkey", "s_suppkey"))
 
 
+@query(f"WITH parts AS (SELECT a.p_partkey, lower(a.p_name) AS a, lower(b.p_name || ' ' || b.p_type) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), {ratios_sql('parts', 'p_partkey')}")
+def ratio_parts(spark, sf_dir):
+    """Texts of several tokens, one longer than the other: a part with the next one and its type."""
+    d = table(spark, sf_dir, "part")
+    one = d.select("p_partkey", F.lower("p_name").alias("a"))
+    two = d.select((F.col("p_partkey") - 1).alias("p_partkey"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("b"))
+    return _similarities(one.join(two, "p_partkey"), ("p_partkey",))
+
+
 @query()
 def ratio_turns(spark, sf_dir):
-    d = turn_pairs(spark, sf_dir)
-    return d.select("conv_id", "turn", *[r6(similarity(k, "a", "b")).alias(k) for k in ("ratio", "token_sort_ratio", "token_set_ratio")])
+    return _similarities(turn_pairs(spark, sf_dir), ("conv_id", "turn"), ("ratio", "token_sort_ratio", "token_set_ratio"))
 
 
 NUMS = """x AS (SELECT conv_id, turn, list_sort(list_distinct(regexp_extract_all(a, '[a-z]*\\d+|t[a-z]+'))) AS q, list_sort(list_distinct(regexp_extract_all(b, '[a-z]*\\d+|t[a-z]+'))) AS p FROM turns)"""
