@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -75,17 +76,33 @@ LOOKALIKES = (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("7",
 DOMAIN_ENDS = "com|net|org|in|co|biz|info|us|fr"
 
 
+@pandas_udf(StringType())
+def _without_latin_marks(s: pd.Series) -> pd.Series:
+    """Composed text in which plain Latin letters have lost their marks."""
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", _MARKED.sub(r"\1", unicodedata.normalize("NFKD", x))))
+
+
+_MARKED = regex.compile(r"([a-z])\p{Mn}+")
+#: Where a look-alike can stand for a letter; most texts have none such.
+_LOOKALIKE = r"[a-z][0134578@$][a-z]|(?:^|[^\p{L}\p{N}])[0134578@$][a-z]{2}"
+
+
+def _letters_for_lookalikes(s: Column) -> Column:
+    for sign, letter in LOOKALIKES:
+        s = F.regexp_replace(s, rf"([a-z]){sign}([a-z])", rf"$1{letter}$2")
+        s = F.regexp_replace(s, rf"(^|[^\p{{L}}\p{{N}}]){sign}([a-z]{{2,}})", rf"$1{letter}$2")
+    return s
+
+
 def block_text(c: str | Column) -> Column:
     """Cleaning for retrieval: zero-width signs, web addresses and accents of Latin letters go,
     ordinals and look-alike digits are undone, leading zeros are dropped."""
     s = F.lower(F.regexp_replace(blank(c), "[​-‍⁠﻿­]", ""))
     s = F.regexp_replace(s, r"https?://|www\.", " ")
-    s = F.regexp_replace(s, rf"(?U)\.({DOMAIN_ENDS})\b", " ")
-    s = unicode_form(F.regexp_replace(unicode_form(s, "NFKD"), r"([a-z])\p{Mn}+", "$1"), "NFC")
+    s = _without_latin_marks(F.regexp_replace(s, rf"(?U)\.({DOMAIN_ENDS})\b", " "))
     s = F.regexp_replace(s, r"(?U)(\d)(st|nd|rd|th)\b", "$1")
-    for sign, letter in LOOKALIKES:
-        s = F.regexp_replace(s, rf"([a-z]){sign}([a-z])", rf"$1{letter}$2")
-        s = F.regexp_replace(s, rf"(^|[^\p{{L}}\p{{N}}]){sign}([a-z]{{2,}})", rf"$1{letter}$2")
+    # Bound to a name, so that the text is cleaned once and the passes run where there is something to do.
+    s = F.transform(F.array(s), lambda x: F.when(x.rlike(_LOOKALIKE), _letters_for_lookalikes(x)).otherwise(x))[0]
     s = F.regexp_replace(s, r"[^\p{L}\p{N}\p{M}]+", " ")
     return F.trim(F.regexp_replace(s, r"(?U)\b0+(\d)", "$1"))
 
@@ -100,23 +117,28 @@ def retrieval_text(name: str | Column, address: str | Column) -> Column:
     return F.trim(F.concat_ws(" ", plain_text(name), plain_text(address)))
 
 
-_SOUNDS = (("ph", "f"), ("ck", "k"), ("c", "k"), ("q", "k"), ("v", "w"), ("z", "s"), ("x", "ks"))
+#: Spellings of one sound, in this order.
+SOUNDS = (("ph", "f"), ("ck", "k"), ("c", "k"), ("q", "k"), ("v", "w"), ("z", "s"), ("x", "ks"))
 
 
-def skeleton_token(t: Column) -> Column:
-    """Consonant key of one token: like-sounding letters merged, later vowels and an h after a
-    consonant dropped, repeats collapsed; a token with a digit is left alone."""
-    s = t
-    for a, b in _SOUNDS:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(s, r"(?s)(?<=.)(?:[aeiouy]|(?<=[^aeiouy])h)", "")
-    s = F.regexp_replace(s, r"(?s)(.)\1+", "$1")
-    return F.when(t.rlike(r"(?U)\d"), t).otherwise(s)
+def skeleton(c: str | Column) -> Column:
+    """The consonant keys of all tokens of a cleaned text: like-sounding letters merged, later vowels
+    and an h after a consonant dropped, repeats collapsed; a token with a digit is left alone.
 
+    Whole texts are rewritten, as no step reaches across a space or takes a token away; then tokens
+    with digits are put back at their places."""
 
-def skeleton(c: str | Column) -> Column:
-    """The consonant keys of all tokens of a cleaned text."""
-    return squeeze(F.array_join(F.transform(F.split(col(c), " "), skeleton_token), " "))
+    def keys(s: Column) -> Column:
+        for spelling, sound in SOUNDS:
+            s = F.replace(s, F.lit(spelling), F.lit(sound))
+        s = F.regexp_replace(s, r"(?<=[^ ])(?:[aeiouy]|(?<=[^aeiouy ])h)", "")
+        return F.regexp_replace(s, r"([^ ])\1+", "$1")
+
+    def whole(s: Column) -> Column:
+        kept = F.zip_with(F.split(s, " "), F.split(keys(s), " "), lambda t, k: F.when(t.rlike(r"(?U)\d"), t).otherwise(k))
+        return F.when(s.rlike(r"(?U)\d"), F.array_join(kept, " ")).otherwise(keys(s))
+
+    return squeeze(F.transform(F.array(col(c)), whole)[0])
 
 
 #: Compound house numbers such as j-52/4, 70/1/1 or b-3.

@@ -2,22 +2,31 @@
 
 A text column becomes terms with weights (1 + ln tf) * idf, rows scaled to unit length; the idf,
 ln((1 + n) / (1 + df)) + 1, is that of the pool alone. A cosine is the sum, over shared terms, of
-the products of weights: an equi-join of postings on the term and a partial aggregation. Terms in
-more than max_df of the pool are dropped before the join, which bounds the posting lists a term
-brings together; the rank filter over the sums runs as a per-key group limit before its shuffle.
+the products of weights; terms in more than max_df of the pool are dropped first.
+
+Given pairs get their cosine by equi-joins of postings on the term. A search has no pairs yet, and a
+join on the term would list one row for each shared term of each pair, which grows with the square
+of the data. So a search is dealt in blocks: the pool in chunks and the queries in groups of a
+bounded number of postings; a task keeps the postings of one chunk by term, adds up each query of
+one group over them with numpy, and returns the k best. What is shuffled is vectors, once for each
+block of the other side, and k rows for each query and chunk.
 
 `part` columns (country) belong to the key of every step: one plan serves all countries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import char_pieces
+from ..storage import arrow, dropped, staged
 
 #: Digits that scores are rounded to before they are ranked.
 DIGITS = 6
@@ -80,30 +89,124 @@ def idf_table(pool: DataFrame, pool_counts: DataFrame, block: Block, part: list[
     return df.select(*part, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def vectors(tf: DataFrame, idf: DataFrame, part: list[str]) -> DataFrame:
+    """(part, id, t, w): the numbers of a text's terms and its unit weights; idf has the numbers (no)."""
+    raw = tf.join(idf, [*part, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    rows = raw.groupBy(*part, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("no", "w")).alias("x"))
+    return rows.select(*part, "id", F.col("x.no").alias("t"), F.transform("x.w", lambda w: w / F.col("norm")).alias("w"))
+
+
 def weights(tf: DataFrame, idf: DataFrame, part: list[str]) -> DataFrame:
-    """(part, id, term, w): unit rows; terms without an idf are dropped first."""
+    """(part, id, term, w): unit rows; terms without an idf are dropped first. The terms of a text are
+    gathered once, with their norm, and listed again."""
     raw = tf.join(idf, [*part, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy(*part, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, [*part, "id"]).select(*part, "id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    rows = raw.groupBy(*part, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
+    return rows.select(*part, "id", "norm", F.inline("x")).select(*part, "id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def posting_tables(queries: DataFrame, pool: DataFrame, block: Block, part: list[str], query_id: str, pool_id: str) -> tuple[DataFrame, DataFrame]:
-    """Weights of the queries and of the pool under one block."""
+    """Weights of the queries and of the pool under one block. The counts of the pool and the idf are
+    written out: both are read several times, and texts are taken apart once."""
     if block.pool_filter:
         pool = pool.where(block.pool_filter)
-    p = counts(pool, pool_id, block.text, block.terms, part)
-    idf = idf_table(pool, p, block, part)
+    p = staged(counts(pool, pool_id, block.text, block.terms, part), "counts")
+    idf = staged(idf_table(pool, p, block, part), "idf")
     return weights(counts(queries, query_id, block.text, block.terms, part), idf, part), weights(p, idf, part)
 
 
+#: Postings of a pool chunk (kept in a task) and of a group of queries (passed through it).
+CHUNK, GROUP = 1 << 22, 1 << 20
+
+
+class Postings:
+    """The postings of a pool chunk by term."""
+
+    def __init__(self, ids: pa.Array, sizes: np.ndarray, terms: np.ndarray, weights_: np.ndarray) -> None:
+        order = np.argsort(terms, kind="stable")
+        self.ids = ids
+        self.rows = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.weights = weights_[order]
+        self.terms, first = np.unique(terms[order], return_index=True)
+        self.bounds = np.append(first, len(order))
+
+    def best(self, terms: np.ndarray, weights_: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the k rows of largest rounded score above `least`; of equals the first."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at, w = at[known], weights_[known]
+        start, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = np.round(np.bincount(self.rows[place], self.weights[place] * np.repeat(w, n), len(self.ids)), DIGITS)
+        found = np.flatnonzero(score > max(least, 0.0))
+        if len(found) > k:
+            found = found[score[found] >= -np.partition(-score[found], k - 1)[k - 1]]
+            found = np.sort(found[np.argsort(-score[found], kind="stable")[:k]])
+        return found, score[found]
+
+
+def _search(keys: int, k: int, least: float):
+    """Rows come by block (the first `keys` columns), a chunk's rows before the queries (side), then by id."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pool, index = None, [], None
+        for b in batches:
+            key = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+            side = b.column(keys).to_numpy(zero_copy_only=False)
+            # Runs of one block and one side.
+            edges = [0, *(i for i in range(1, b.num_rows) if key[i] != key[i - 1] or side[i] != side[i - 1]), b.num_rows]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if s == e:
+                    continue
+                if key[s] != block:
+                    block, pool, index = key[s], [], None
+                rows = b.slice(s, e - s)
+                t, w = rows.column(keys + 2), rows.column(keys + 3)
+                if not side[s]:
+                    pool.append((rows.column(keys + 1), np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), w.flatten().to_numpy()))
+                    continue
+                if not pool:
+                    continue
+                if index is None:
+                    index = Postings(pa.chunked_array([x[0] for x in pool]).combine_chunks(), *(np.concatenate([x[i] for x in pool]) for i in (1, 2, 3)))
+                ends = np.concatenate(([0], np.cumsum(np.diff(t.offsets.to_numpy()))))
+                terms, weights_ = t.flatten().to_numpy(), w.flatten().to_numpy()
+                hits = [index.best(terms[i:j], weights_[i:j], k, least) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                of = pa.array(np.repeat(np.arange(e - s), [len(h[0]) for h in hits]))
+                part = [rows.column(i).take(of) for i in range(keys - 2)]
+                yield pa.record_batch([*part, rows.column(keys + 1).take(of), index.ids.take(pa.array(np.concatenate([h[0] for h in hits]))), pa.array(np.concatenate([h[1] for h in hits]))], names=[*b.schema.names[: keys - 2], "q_id", "p_id", "score"])
+
+    return kernel
+
+
 def top_k(queries: DataFrame, pool: DataFrame, block: Block, part: list[str] | None = None, query_id: str = "entity_id", pool_id: str = "entity_id") -> DataFrame:
     """(part, q_id, p_id, score, rank): for each query the k pool rows of largest cosine above
     min_score; ties by the pool id."""
     part = ["country"] if part is None else part
-    q, p = posting_tables(queries, pool, block, part, query_id, pool_id)
-    met = q.withColumnRenamed("id", "q_id").withColumnRenamed("w", "wq").join(p.withColumnRenamed("id", "p_id").withColumnRenamed("w", "wp"), [*part, "term"])
-    score = F.round(F.sum(F.col("wq") * F.col("wp")), DIGITS)
-    pairs = met.groupBy(*part, "q_id", "p_id").agg(score.alias("score")).where(F.col("score") > block.min_score)
+    for c in part:
+        queries, pool = queries.where(F.col(c).isNotNull()), pool.where(F.col(c).isNotNull())
+    if block.pool_filter:
+        pool = pool.where(block.pool_filter)
+    tf = staged(counts(pool, pool_id, block.text, block.terms, part), "counts")
+    idf = staged(idf_table(pool, tf, block, part).withColumn("no", F.monotonically_increasing_id()), "idf")
+    p = staged(vectors(tf, idf, part), "pool")
+    q = staged(vectors(counts(queries, query_id, block.text, block.terms, part), idf, part), "queries")
+    dropped(tf)
+    dropped(idf)
+    size = lambda d, n, most: d.groupBy(*part).agg(F.ceil(F.sum(F.size("t")) / most).cast("int").alias(n))
+    plan = size(p, "chunks", CHUNK).join(size(q, "groups", GROUP), part) if part else size(p, "chunks", CHUNK).crossJoin(size(q, "groups", GROUP))
+    plan = plan.na.fill(1, ["chunks", "groups"])
+    held = plan.collect()  # a row for each value of part
+    tasks = sum(max(1, r["chunks"]) * max(1, r["groups"]) for r in held)
+    plan = queries.sparkSession.createDataFrame(held, plan.schema)
+    dealt = lambda d: d.join(F.broadcast(plan), part) if part else d.crossJoin(F.broadcast(plan))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1)))
+    one = dealt(p).select(*part, mine("chunks").cast("int").alias("_chunk"), every("groups").alias("_group"), F.lit(0).alias("_side"), "id", "t", "w")
+    two = dealt(q).select(*part, every("chunks").alias("_chunk"), mine("groups").cast("int").alias("_group"), F.lit(1).alias("_side"), "id", "t", "w")
+    keys = [*part, "_chunk", "_group"]
+    rows = one.unionByName(two).repartition(max(1, tasks), *keys).sortWithinPartitions(*keys, "_side", "id")
+    schema = StructType([*(queries.schema[c] for c in part), StructField("q_id", queries.schema[query_id].dataType), StructField("p_id", pool.schema[pool_id].dataType), StructField("score", DoubleType())])
+    pairs = arrow(rows, _search(len(keys), block.k, block.min_score), schema)
     order = Window.partitionBy(*part, "q_id").orderBy(F.desc("score"), "p_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block.k)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.strings import similarities, similarity, token_jaccard
 from ..operators import features
+from ..storage import spread
 from .base import query, r6, table
 
 NAMES = "names AS (SELECT c_custkey, s_suppkey, c_name AS a, s_name AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey)"
@@ -20,7 +21,7 @@ turns AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM t a JOIN t b ON b.co
 
 def name_pairs(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", F.col("c_name").alias("a"), F.col("s_name").alias("b"))
+    return spread(c).join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", F.col("c_name").alias("a"), F.col("s_name").alias("b"))
 
 
 def turn_pairs(spark, sf_dir):

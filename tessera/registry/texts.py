@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import address, names, scripts, text
 from ..operators import reports
 from ..plans.normalize import learn_token_map, normalize
+from ..storage import spread
 from .base import RECORDS, query, records, sql_values, table, values
 
 NAMES = [
@@ -26,17 +27,17 @@ ADDRESSES = [
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), '&', ' and '), '[^\\p{L}\\p{M}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents""")
 def clean_text_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("clean"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.clean_text("text").alias("clean"))
 
 
 @query("SELECT doc_id, replace(replace(strip_accents(text), 'œ', 'oe'), 'æ', 'ae') AS plain FROM documents")
 def strip_accents_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_accents("text").alias("plain"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.strip_accents("text").alias("plain"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS plain FROM documents")
 def plain_text_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.plain_text("text").alias("plain"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.plain_text("text").alias("plain"))
 
 
 @query(f"""WITH {RECORDS}, p AS (SELECT entity_id, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS n,
@@ -45,13 +46,16 @@ def retrieval_text_records(spark, sf_dir):
     return records(spark, sf_dir).select("entity_id", text.retrieval_text("name", "address").alias("query_text"))
 
 
+_LOOKALIKES = (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("8", "b"), ("@", "a"), (r"\$", "s"))
+
+
 def _block_sql(c: str) -> str:
     s = f"lower(regexp_replace({c}, '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}\\x{{ad}}]', '', 'g'))"
     s = f"regexp_replace({s}, 'https?://|www\\.', ' ', 'g')"
     s = f"regexp_replace({s}, '\\.(com|net|org|in|co|biz|info|us|fr)\\b', ' ', 'g')"
     s = f"strip_accents({s})"
     s = f"regexp_replace({s}, '(\\d)(st|nd|rd|th)\\b', '\\1', 'g')"
-    for sign, letter in text.LOOKALIKES:
+    for sign, letter in _LOOKALIKES:
         s = f"regexp_replace({s}, '([a-z]){sign}([a-z])', '\\1{letter}\\2', 'g')"
         s = f"regexp_replace({s}, '(^|[^\\p{{L}}\\p{{N}}]){sign}([a-z]{{2,}})', '\\1{letter}\\2', 'g')"
     return f"trim(regexp_replace(regexp_replace({s}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'), '\\b0+(\\d)', '\\1', 'g'))"
@@ -59,12 +63,12 @@ def _block_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, {_block_sql('text')} AS clean FROM documents")
 def block_text_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.block_text("text").alias("clean"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.block_text("text").alias("clean"))
 
 
 @query(f"SELECT page_id, {_block_sql('url')} AS clean FROM pages")
 def block_text_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.block_text("url").alias("clean"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", text.block_text("url").alias("clean"))
 
 
 HOUSE_SQL = r"(?:\b[a-z]{1,3}\s?[-#.]?\s?)?\d+(?:\s?[/\-]\s?[a-z0-9]+)+|\b[a-z]{1,3}\s?-\s?\d+[a-z]?\b"
@@ -75,7 +79,7 @@ HOUSE_SQL = r"(?:\b[a-z]{1,3}\s?[-#.]?\s?)?\d+(?:\s?[/\-]\s?[a-z0-9]+)+|\b[a-z]{
   lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\\s+', '', 'g'), '[/\\-#.]+', '_', 'g'), '(^|_|[a-z])0+(\\d)', '\\1\\2', 'g')))), ' ') AS tokens FROM pages"""
 )
 def house_tokens_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.house_tokens("url").alias("tokens"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", text.house_tokens("url").alias("tokens"))
 
 
 @query(
@@ -96,7 +100,7 @@ SELECT page_id, n AS name, len(string_split(n, ' ')) = 1 AND length(regexp_repla
 )
 def domain_like_pages(spark, sf_dir):
     host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
-    d = table(spark, sf_dir, "pages").select("page_id", text.block_text(host).alias("name"))
+    d = spread(table(spark, sf_dir, "pages")).select("page_id", text.block_text(host).alias("name"))
     return d.withColumn("domain_like", text.domain_like("name"))
 
 
@@ -105,14 +109,26 @@ def name_numbers_customers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.name_numbers(F.lower("c_mktsegment"), "c_name").alias("name_numbers"))
 
 
-@query()
+def _skeleton_sql(c: str) -> str:
+    """Letters by place: vowels after the first letter go, then an h after a consonant, then repeats."""
+    sounds = "t"
+    for spelling, sound in (("ph", "f"), ("ck", "k"), ("c", "k"), ("q", "k"), ("v", "w"), ("z", "s"), ("x", "ks")):
+        sounds = f"replace({sounds}, '{spelling}', '{sound}')"
+    vowel = "('a', 'e', 'i', 'o', 'u', 'y')"
+    kept = f"list_transform(list_filter(range(1, len(c) + 1), lambda i: i = 1 OR NOT (c[i] IN {vowel} OR (c[i] = 'h' AND c[i - 1] NOT IN {vowel}))), lambda i: c[i])"
+    once = "list_transform(list_filter(range(1, len(k) + 1), lambda i: i = 1 OR k[i] <> k[i - 1]), lambda i: k[i])"
+    key = f"array_to_string(list_transform([list_transform([string_split({sounds}, '')], lambda c: {kept})[1]], lambda k: {once})[1], '')"
+    return f"trim(regexp_replace(array_to_string(list_transform(string_split({c}, ' '), lambda t: CASE WHEN regexp_matches(t, '\\d') THEN t ELSE {key} END), ' '), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH d AS MATERIALIZED (SELECT doc_id, {_block_sql('text')} AS clean FROM documents) SELECT doc_id, {_skeleton_sql('clean')} AS skeleton FROM d")
 def skeleton_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.skeleton(text.block_text("text")).alias("skeleton"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.skeleton(text.block_text("text")).alias("skeleton"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '\\p{Devanagari}') THEN 'devanagari' WHEN regexp_matches(text, '[^\\P{L}\\p{Latin}]') THEN 'other' ELSE 'latin' END AS script FROM documents""")
 def script_class_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scripts.script("text").alias("script"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", scripts.script("text").alias("script"))
 
 
 SCRIPTS = [(1, "Café 12"), (2, "राम traders"), (3, "தமிழ்"), (4, None), (5, "12 34"), (6, "Ελλάδα"), (7, "क़मर ट्रेडर्स लिमिटेड"), (8, "মেসার্স রহমান"), (9, "ఎస్‌ఎస్ motors")]

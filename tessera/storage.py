@@ -32,7 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    return f"{app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def app_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder: those that results
+    still read, which no step can drop by itself, too."""
+    delete(spark, app_folder(spark))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +55,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Bytes a core below which a table is dealt to all cores.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if it is so small that its files may hold it in fewer parts than there
+    are cores; a table that fills the cluster stays where it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    return df.repartition(cores)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
@@ -55,3 +79,12 @@ def dropped(df: DataFrame) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def arrow(df: DataFrame, kernel, schema) -> DataFrame:
+    """mapInArrow in which a batch's columns come as plain arrays."""
+
+    def run(batches):
+        yield from kernel(batches)
+
+    return df.mapInArrow(run, schema)
