@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def pairs_of(truth: DataFrame) -> DataFrame:
     """(s1_id, cand_id) of a truth table; records without a match drop out."""
@@ -147,9 +149,19 @@ def auc(scored: DataFrame, score: str, label: str, by: list[str] | None = None)
     are counted before they meet."""
     by = by or []
     d = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
-    key = by or [F.lit(0)]
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
+    # Ranges of scores in order: each is summed in its own task, and only their totals meet.
+    d = staged(d.repartitionByRange(*by, score).withColumn("_range", F.spark_partition_id()), "ranges")
+    key = [*by, "_range"]
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = d.groupBy(*key).agg(F.sum("_n").alias("_all"))
+    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.coalesce(F.sum("_all").over(upto), F.lit(0)).alias("_before"))
+    on = None
+    for i, c in enumerate(key):
+        one = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        on = one if on is None else on & one
+    d = d.withColumn("_inside", inside).join(F.broadcast(totals), on)  # a row for each range
+    d = d.withColumn("_won", F.col("_p") * (F.col("_before") + F.col("_inside") + F.col("_n") / 2))
     return d.groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
 
 
@@ -175,7 +187,9 @@ def threshold_grid(scored: DataFrame, truth: DataFrame, ts: list[float], t1s: li
 
 def prior_shift(p: DataFrame, score: str, train_rate: float, steps: int = 200, bins: int = 10_000) -> float:
     """Class share under a shifted prior, by expectation maximisation over the posteriors. They are
-    counted in bins first (each kept at its mean), so the loop runs on at most `bins` rows."""
+    counted in bins first (each kept at its mean), so the loop runs on at most `bins` rows. A bin is
+    1 / bins wide and its mean is kept, so what a step adds up is off by the curvature within a bin
+    alone: for train rates and shares of 0.01 and more, by less than 1e-5."""
     rows = p.where(F.col(score).isNotNull()).groupBy(F.floor(F.col(score) * bins).alias("b")).agg(F.avg(score).alias("p"), F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in rows)
     if not total:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.strings import token_jaccard
+from ..functions.scripts import has_devanagari
+from ..functions.strings import similarity, token_jaccard
 from .metrics import f05, pairs_of, per_record
 
 
@@ -172,3 +173,69 @@ def label_free(pred: DataFrame, records: DataFrame, orphans: DataFrame, reverse:
         F.avg(F.coalesce(F.col("strong").cast("int"), F.lit(0))).alias("strong"),
     )
     return s1.groupBy("country").agg(F.count("*").alias("n_s1")).join(out, "country", "left").na.fill(0, ["pairs", "s1_matched", "claimed_2plus"]).withColumn("matches_per_s1", F.col("pairs") / F.col("n_s1"))
+
+
+def rank_hits(ranked: DataFrame, truth: DataFrame, variants: tuple[str, ...] = ("raw", "core"), levels: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """One row that compares rankings of retrieved pairs (s1_id, cand_id, <variant>_rank): queries, true
+    pairs retrieved, true pairs and queries with one among the first 5 and 10 of each ranking, their
+    rates over queries with a match and over true pairs, and the queries that the second ranking wins
+    or loses at the deepest level."""
+    hits = ranked.join(pairs_of(truth).distinct(), ["s1_id", "cand_id"])
+    names = [(v, n) for v in variants for n in levels]
+    per = hits.groupBy("s1_id").agg(F.count("*").alias("retrieved"), *[F.count_if(F.col(f"{v}_rank") <= n).alias(f"{v}_top{n}") for v, n in names])
+    d = truth.select("s1_id", F.size("matched_ids").alias("n_true")).join(per, "s1_id", "left").na.fill(0)
+    last = levels[-1]
+    one, two = (F.col(f"{v}_top{last}") > 0 for v in variants[:2])
+    sums = d.agg(
+        F.count("*").alias("queries"),
+        F.count_if(F.col("n_true") > 0).alias("positive_queries"),
+        F.sum("n_true").alias("true_pairs"),
+        F.sum("retrieved").alias("retrieved_true_pairs"),
+        F.count_if(F.col("retrieved") > 0).alias("retrieval_hit_queries"),
+        *[F.sum(f"{v}_top{n}").alias(f"{v}_top{n}_pairs") for v, n in names],
+        *[F.count_if(F.col(f"{v}_top{n}") > 0).alias(f"{v}_top{n}_hit_queries") for v, n in names],
+        F.count_if(two & ~one).alias(f"{variants[1]}_wins_top{last}_queries"),
+        F.count_if(one & ~two).alias(f"{variants[1]}_losses_top{last}_queries"),
+    )
+    rate = {f"{c}_rate": F.try_divide(c, "positive_queries") for c in ["retrieval_hit_queries", *(f"{v}_top{n}_hit_queries" for v, n in names)]}
+    recall = {f"{c}_recall": F.try_divide(c, "true_pairs") for c in ["retrieved_true_pairs", *(f"{v}_top{n}_pairs" for v, n in names)]}
+    return sums.withColumns(rate | recall)
+
+
+def subset_recall(truth: DataFrame, subset: DataFrame, steps: dict[str, DataFrame]) -> DataFrame:
+    """One row: true pairs whose record is in a subset (cand_id), their S1, and how many of the pairs
+    each step (s1_id, cand_id) still has."""
+    d = pairs_of(truth).distinct().join(subset.select("cand_id").distinct(), "cand_id", "left_semi")
+    for name, pairs in steps.items():
+        d = d.join(pairs.select("s1_id", "cand_id").distinct().withColumn(name, F.lit(1)), ["s1_id", "cand_id"], "left")
+    out = d.agg(F.count("*").alias("true_pairs"), F.count_distinct("s1_id").alias("positive_s1"), *[F.count(n).alias(f"{n}_pairs") for n in steps])
+    return out.withColumns({f"{n}_recall": F.try_divide(f"{n}_pairs", "true_pairs") for n in steps})
+
+
+def transliteration_report(pairs: DataFrame, token_map: DataFrame) -> DataFrame:
+    """One row on true pairs of a Latin S1 and a Devanagari record (s1_id, s1_core, s1_latin, cand_core,
+    cand_latin): how equal and alike the names are before and after they are written in Latin, and how
+    many of the Devanagari tokens the learned map (tok) knows."""
+    eq = lambda a, b: ((text.blank(a) != "") & (text.blank(a) == text.blank(b))).cast("int")
+    tokens = pairs.select(F.explode(F.split(text.blank("cand_core"), r"(?U)\s+")).alias("tok")).where(has_devanagari("tok"))
+    known = tokens.join(token_map.select("tok").distinct().withColumn("_m", F.lit(1)), "tok", "left").agg(F.count("*").alias("devanagari_tokens"), F.count("_m").alias("mapped_tokens"))
+    out = pairs.agg(
+        F.count("*").alias("pairs"),
+        F.count_distinct("s1_id").alias("positive_s1"),
+        F.avg(eq("s1_core", "cand_core")).alias("core_exact_rate"),
+        F.avg(eq("s1_latin", "cand_latin")).alias("latin_exact_rate"),
+        F.avg(token_jaccard("s1_core", "cand_core")).alias("core_jaccard_mean"),
+        F.avg(token_jaccard("s1_latin", "cand_latin")).alias("latin_jaccard_mean"),
+        F.avg(100 * similarity("weighted_ratio", "s1_core", "cand_core")).alias("core_wratio_mean"),
+        F.avg(100 * similarity("weighted_ratio", "s1_latin", "cand_latin")).alias("latin_wratio_mean"),
+        F.count_if(has_devanagari(text.blank("cand_latin"))).alias("nonlatin_output_pairs"),
+    )
+    return out.crossJoin(known).withColumn("mapped_token_rate", F.try_divide("mapped_tokens", "devanagari_tokens"))  # one row each
+
+
+def texts_of(ids: DataFrame, *sources: DataFrame) -> DataFrame:
+    """(entity_id, name, address) of the ids asked for, from several sources."""
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    return every.join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "name", "address")

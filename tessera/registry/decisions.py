@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decide, features, metrics, models, reports
 from .base import ORDER_TRUTH, SCORED, order_truth, query, r6, scored, table
+from .similarity import ratio_tables
 
 RANKED = f"{SCORED}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS INTEGER) AS block_rank, max(prob) OVER (PARTITION BY s1_id) AS best FROM scored)"
 PICK = "s1_id, cand_id, prob"
@@ -114,7 +115,14 @@ def sibling_house(spark, sf_dir):
     return d.select("s1_id", "cand_id", r6("sib_house_w").alias("sib_house_w"), "sib_house_best", "sib_same_name_n")
 
 
-@query()
+@query(
+    f"""WITH {FEATS}, t AS (SELECT s1_id, cand_id, prune_prob, name_m, addr FROM cut JOIN {PART_TEXT} p ON p.p_partkey = CAST(split_part(cand_id, '-', 2) AS BIGINT)),
+o AS (SELECT a.s1_id, a.cand_id, a.name_m AS ma, b.name_m AS mb, a.addr AS xa, b.addr AS xb, b.prune_prob AS w FROM t a JOIN t b ON a.s1_id = b.s1_id AND a.cand_id <> b.cand_id),
+each_ AS (SELECT DISTINCT ma AS a, mb AS b FROM o UNION SELECT DISTINCT xa, xb FROM o), {ratio_tables("each_")},
+x AS (SELECT o.*, n.token_set_ratio AS sn, z.token_set_ratio AS sa FROM o JOIN s n ON n.a = ma AND n.b = mb JOIN s z ON z.a = xa AND z.b = xb),
+y AS (SELECT s1_id, cand_id, round(max(sn), 6) AS sib_name_max, round(sum(sn * w) / (sum(w) + 1e-6), 6) AS sib_name_w, round(max(sa), 6) AS sib_addr_max, round(sum(sa * w) / (sum(w) + 1e-6), 6) AS sib_addr_w, round(max(sn * sa * w), 6) AS sib_support FROM x GROUP BY ALL)
+SELECT s1_id, cand_id, sib_name_max, sib_name_w, sib_addr_max, sib_addr_w, sib_support FROM cut LEFT JOIN y USING (s1_id, cand_id)"""
+)
 def sibling_support(spark, sf_dir):
     c = candidate_features(spark, sf_dir)
     ids = c.select(F.col("cand_id").alias("entity_id")).distinct().withColumn("p_partkey", F.split_part("entity_id", F.lit("-"), F.lit(2)).cast("long")).join(part_text(spark, sf_dir), "p_partkey").drop("p_partkey")
@@ -288,7 +296,10 @@ def auc_rank(spark, sf_dir):
     return metrics.auc(d, "prob", "y", ["country"]).withColumn("auc", r6("auc"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SCORED}, h AS (SELECT prob AS p, count(*) AS n FROM scored GROUP BY 1),
+em AS (SELECT 0 AS i, 0.25::DOUBLE AS s UNION ALL SELECT i + 1, sum(n * p * s / 0.25 / (p * s / 0.25 + (1 - p) * (1 - s) / 0.75)) / sum(n) FROM em, h WHERE i < 200 GROUP BY i, s) SELECT round(s, 6) AS share FROM em WHERE i = 200"""
+)
 def prior_shift_em(spark, sf_dir):
     share = metrics.prior_shift(scored(spark, sf_dir), "prob", 0.25)
     return spark.createDataFrame([(round(share, 6),)], "share double")

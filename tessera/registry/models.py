@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decide, metrics, models
+from ..operators.tfidf import Block
 from ..plans import linkage
 from ..streaming.incremental import arrivals
-from .base import query, r6, records, scored, table, truth
+from .base import RECORDS, query, r6, records, scored, table, truth
+from .decisions import ALL
+from .retrieval import TRUTH, block_sql, blocks_sql
+from .texts import BLOCK_VIEWS
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "month"]
 
@@ -57,14 +61,24 @@ def gbt_transfer(spark, sf_dir):
     return metrics.auc(models.predict(m, x, FEATURES), "prob", "y", ["country"]).withColumn("auc", F.round("auc", 4))
 
 
-@query()
+_LINES = """l AS (SELECT 'S1-' || l_orderkey AS s1_id, 'S2-' || l_partkey || '.' || l_linenumber AS cand_id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity FROM lineitem)"""
+
+
+@query(f"""WITH {_LINES}, o AS (SELECT DISTINCT cand_id FROM l WHERE y = 1 AND l_quantity > 25), w AS (SELECT y, CASE WHEN y = 0 AND o.cand_id IS NULL THEN 1.6 ELSE 1.0 END::DOUBLE AS w FROM l LEFT JOIN o USING (cand_id))
+SELECT y, w, count(*) AS n FROM w GROUP BY ALL""")
 def orphan_weights(spark, sf_dir):
     d = lines(spark, sf_dir)
     owned = d.where("y = 1 and l_quantity > 25").select("cand_id")
     return models.orphan_weights(d, owned, 1.6).groupBy("y", "w").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {ALL}, g AS (SELECT t, u AS t1 FROM (SELECT unnest([0.5, 0.7, 0.9]::DOUBLE[]) AS t), (SELECT unnest([0.3, 0.5]::DOUBLE[]) AS u) WHERE u <= t),
+d AS (SELECT t, t1, r.s1_id, count(*) AS n, count(w.cand_id) AS tp FROM g JOIN ranked r ON r.prob >= t OR (r.prob = best AND r.prob >= t1) LEFT JOIN want w ON w.s1_id = r.s1_id AND w.cand_id = r.cand_id GROUP BY ALL),
+x AS (SELECT g.t, g.t1, n_true, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM g CROSS JOIN truth t LEFT JOIN d ON d.t = g.t AND d.t1 = g.t1 AND d.s1_id = t.s1_id),
+m AS (SELECT t, t1, round(avg(CASE WHEN n_true = 0 THEN CAST(n = 0 AS DOUBLE) WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n) * (tp / n_true) / (0.25 * (tp / n) + tp / n_true) END), 6) AS macro_f05 FROM x GROUP BY ALL)
+SELECT macro_f05, t, t1 FROM m ORDER BY macro_f05 DESC, t, t1 LIMIT 1"""
+)
 def tuned_thresholds(spark, sf_dir):
     from .base import order_truth
 
@@ -72,7 +86,10 @@ def tuned_thresholds(spark, sf_dir):
     return spark.createDataFrame([tuple(float(round(x, 6)) for x in best)], "macro_f05 double, t double, t1 double")
 
 
-@query()
+@query(
+    f"""WITH {blocks_sql(("word", "namenum"))}, {TRUTH}, c AS (SELECT s1_id, cand_id, concat_ws('|', CASE WHEN s_word IS NOT NULL THEN 'word' END, CASE WHEN s_namenum IS NOT NULL THEN 'namenum' END) AS sources, greatest(s_word, s_namenum) AS block_score FROM pairs)
+SELECT c.*, CAST(row_number() OVER (PARTITION BY c.s1_id ORDER BY block_score DESC, c.cand_id) AS INTEGER) AS block_rank, CAST(w.cand_id IS NOT NULL AS INTEGER) AS y FROM c LEFT JOIN want w ON w.s1_id = c.s1_id AND w.cand_id = c.cand_id"""
+)
 def word_candidates(spark, sf_dir):
     """The candidate pipeline on two blocks, labelled by the truth."""
     from ..operators import blocks
@@ -81,7 +98,7 @@ def word_candidates(spark, sf_dir):
     return linkage.labelled(found, truth(spark, sf_dir)).select("s1_id", "cand_id", "sources", "block_score", "block_rank", "y")
 
 
-@query()
+@query(f"WITH {RECORDS}, {BLOCK_VIEWS}, s1 AS (SELECT * FROM prepared WHERE starts_with(entity_id, 'S1-')), pool AS (SELECT * FROM prepared WHERE NOT starts_with(entity_id, 'S1-')), {block_sql(Block('word', 'text', 5, 0.01), 'pool', 's1', 'b')} SELECT * FROM b")
 def arriving_records(spark, sf_dir):
     """Records of sources 2 and 3 as one arriving batch against source 1."""
     d = records(spark, sf_dir)

@@ -9,6 +9,7 @@ from ..operators import blocks, metrics, tfidf
 from ..operators.tfidf import Block
 from ..storage import staged
 from .base import RECORDS, query, r6, records, table, truth
+from .texts import BLOCK_VIEWS
 
 _PLAIN = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _NUMS = "array_to_string(regexp_extract_all({c}, '\\d+'), ' ')"
@@ -177,10 +178,27 @@ def pair_cosine(spark, sf_dir):
     return tfidf.pair_cosine(tfidf.top_k(q, p, WORD).drop("rank"), q, p, NAMENUM)
 
 
-@query()
+#: The oracle's own copy of how each block retrieves.
+_ALL = (
+    Block("word", "text", 20, 0.01), Block("skel", "skel", 20, 0.01), Block("noaddr", "skel_name", 10, 0.05, pool_filter="addr_empty"),
+    Block("namenum", "namenum", 10, 0.05), Block("concat", "concat3", 5, 0.05, pool_filter="domainlike"), Block("namehouse", "namehouse", 5, 0.05),
+)
+
+
+def blocks_sql(names: tuple[str, ...], queries: str = "s1", pool: str = "pool") -> str:
+    """Common tables that end in pairs, the union of the named blocks on their own views."""
+    some = [b for b in _ALL if b.name in names]
+    rows = " UNION ALL ".join(f"SELECT country, q_id AS s1_id, p_id AS cand_id, '{b.name}' AS block, score, rank FROM b_{b.name}" for b in some)
+    out = ", ".join(f"max(score) FILTER (block = '{b.name}') AS s_{b.name}, CAST(max(rank) FILTER (block = '{b.name}') AS DOUBLE) AS r_{b.name}" for b in some)
+    return f"""{RECORDS}, {BLOCK_VIEWS}, s1 AS (SELECT * FROM prepared WHERE starts_with(entity_id, 'S1-') AND country IS NOT NULL), pool AS (SELECT * FROM prepared WHERE NOT starts_with(entity_id, 'S1-')),
+{", ".join(block_sql(b, queries, pool, f"b_{b.name}") for b in some)}, u AS ({rows}), pairs AS (SELECT country, s1_id, cand_id, {out}, CAST(count(*) AS INTEGER) AS n_blocks FROM u GROUP BY ALL)"""
+
+
+@query(f"WITH {blocks_sql(tuple(b.name for b in _ALL))} SELECT * FROM pairs")
 def all_blocks(spark, sf_dir):
     """All six blocks on views with consonant keys and romanised tokens."""
-    return blocks.retrieve(blocks.prepare(records(spark, sf_dir)))
+    d = blocks.retrieve(blocks.prepare(records(spark, sf_dir)))
+    return d.withColumns({f"r_{b.name}": F.col(f"r_{b.name}").cast("double") for b in blocks.BLOCKS})
 
 
 TRUTH = """want AS (SELECT DISTINCT a.id AS s1_id, b.id AS cand_id FROM (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, lang, lower(text) AS t FROM documents) a

@@ -95,6 +95,11 @@ def _ordered(x: str, y: str) -> str:
 
 def ratios_sql(pairs: str, keys: str) -> str:
     """The five ratios of a table of pairs (keys, a, b)."""
+    return f"""{ratio_tables(pairs)} SELECT {keys}, {", ".join(f"round({k}, 6) AS {k}" for k in RATIOS)} FROM {pairs} JOIN s USING (a, b)"""
+
+
+def ratio_tables(pairs: str) -> str:
+    """Common tables that end in s (a, b and the five ratios) of the distinct pairs of a table."""
     tokens = "list_filter(string_split({c}, ' '), lambda v: v <> '')"
     return f"""d AS (SELECT DISTINCT a, b FROM {pairs}),
 k AS (SELECT a, b, list_sort({tokens.format(c="a")}) AS ta, list_sort({tokens.format(c="b")}) AS tb FROM d),
@@ -106,8 +111,7 @@ r AS (SELECT *, {_ratio_sql("a", "b")} AS ratio, {_ordered("a", "b")} AS partial
   ELSE greatest(1 - apart / (na + nb), 2 * length(both_) / (length(both_) + na), 2 * length(both_) / (length(both_) + nb)) END AS token_set_ratio,
  {_ordered("sa", "sb")} AS ps, CASE WHEN both_ <> '' THEN 1.0 ELSE {_ordered("oa", "ob")} END AS pt, greatest(length(a), length(b)) / least(length(a), length(b)) AS far FROM n),
 s AS (SELECT *, CASE WHEN far < 1.5 THEN greatest(ratio, 0.95 * greatest(token_sort_ratio, token_set_ratio))
-  ELSE greatest(ratio, CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * partial_ratio, 0.95 * CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * greatest(ps, pt)) END AS weighted_ratio FROM r)
-SELECT {keys}, {", ".join(f"round({k}, 6) AS {k}" for k in RATIOS)} FROM {pairs} JOIN s USING (a, b)"""
+  ELSE greatest(ratio, CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * partial_ratio, 0.95 * CASE WHEN far <= 8 THEN 0.9 ELSE 0.6 END * greatest(ps, pt)) END AS weighted_ratio FROM r)"""
 
 
 @query(f"WITH {NAMES}, {ratios_sql('names', 'c_custkey, s_suppkey')}")

@@ -10,9 +10,9 @@ from ..operators import blocks, models, reports
 from ..operators import records as rec
 from ..sources import outputs, tables
 from ..storage import new_path
-from .base import ORDER_TRUTH, RECORDS, SCORED, order_truth, query, r6, records, scored, table, truth
+from .base import ORDER_TRUTH, RECORDS, SCORED, crc32_sql, order_truth, query, r6, records, scored, table, truth
 from .retrieval import HEAD, REVERSE_SQL, TRUTH, prepared
-from .texts import _block_sql
+from .texts import BLOCK_VIEWS, _block_sql
 
 # ------------------------------------------------------------------ sources and sinks
 
@@ -90,13 +90,14 @@ def country_list(spark, sf_dir):
     return tables.countries(table(spark, sf_dir, "documents").select(F.col("lang").alias("country")))
 
 
-@query()
+@query(f"""WITH {RECORDS}, h AS (SELECT entity_id, country, {crc32_sql("'7:' || entity_id")} AS h FROM records)
+SELECT entity_id, country FROM h QUALIFY row_number() OVER (PARTITION BY country ORDER BY h, entity_id) <= 30""")
 def hash_sample(spark, sf_dir):
     """A sampling operator: thirty records of each language by a seeded hash."""
     return models.sample_by(records(spark, sf_dir), "entity_id", "country", 30, 7).select("entity_id", "country")
 
 
-@query()
+@query(f"""WITH {RECORDS}, h AS (SELECT entity_id, {crc32_sql("entity_id")} AS h FROM records) SELECT entity_id, h % 10 = 0 AS is_val, CAST(h % 5 AS INTEGER) AS fold FROM h""")
 def val_split_crc(spark, sf_dir):
     return records(spark, sf_dir).select("entity_id", models.is_validation("entity_id").alias("is_val"), models.crc_fold("entity_id", 5).alias("fold"))
 
@@ -252,7 +253,7 @@ def plain_views(spark, sf_dir):
     return prepared(spark, sf_dir).select("entity_id", "country", "text", "name_key", "namenum", "addr_empty")
 
 
-@query()
+@query(f"WITH {RECORDS}, {BLOCK_VIEWS} SELECT * FROM prepared")
 def block_views(spark, sf_dir):
     return blocks.prepare(records(spark, sf_dir))
 

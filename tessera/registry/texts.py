@@ -121,6 +121,19 @@ def _skeleton_sql(c: str) -> str:
     return f"trim(regexp_replace(array_to_string(list_transform(string_split({c}, ' '), lambda t: CASE WHEN regexp_matches(t, '\\d') THEN t ELSE {key} END), ' '), '\\s+', ' ', 'g'))"
 
 
+#: Views of records for all blocks, for texts of Latin letters (others are romanised, which is not in SQL).
+_WITHOUT = (
+    "private|limited|pvt|ltd|llc|l l c|llp|inc|incorporated|corp|corporation|co|company|plc|group|enterprises|services|sarl|sas|sasu|sa|eurl|sci|snc|and|et|of|the|de|la|le|les|des|du|m s|mr|mrs|dr|shri|sri|smt"
+)
+_JOIN_SQL = f"regexp_replace(regexp_replace(name, '\\b({_WITHOUT})\\b', ' ', 'g'), '\\s+', '', 'g')"
+_HOUSE_SQL = r"""array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(coalesce(address, '')), '(?:\b[a-z]{1,3}\s?[-#.]?\s?)?\d+(?:\s?[/\-]\s?[a-z0-9]+)+|\b[a-z]{1,3}\s?-\s?\d+[a-z]?\b'),
+  lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\s+', '', 'g'), '[/\-#.]+', '_', 'g'), '(^|_|[a-z])0+(\d)', '\1\2', 'g')))), ' ')"""
+BLOCK_VIEWS = f"""v0 AS MATERIALIZED (SELECT entity_id, country, {_block_sql("coalesce(name, '')")} AS name, {_block_sql("coalesce(address, '')")} AS addr, regexp_matches(coalesce(name, ''), '[^\\P{{L}}\\p{{Latin}}]') AS nonlatin, {_HOUSE_SQL} AS house FROM records),
+v1 AS MATERIALIZED (SELECT *, trim(concat_ws(' ', name, addr)) AS text, {_JOIN_SQL} AS joined FROM v0),
+prepared AS MATERIALIZED (SELECT entity_id, country, name, addr, nonlatin, text, addr = '' AS addr_empty, trim(name || ' ' || array_to_string(regexp_extract_all(addr, '\\d+'), ' ')) AS namenum, {_skeleton_sql("name")} AS skel_name, {_skeleton_sql("text")} AS skel,
+ array_to_string(list_transform(range(1, greatest(length(joined) - 2, 1) + 1), lambda i: substring(joined, i, 3)), ' ') AS concat3, len(string_split(name, ' ')) = 1 AND length(joined) >= 8 AS domainlike, trim(name || ' ' || house) AS namehouse FROM v1)"""
+
+
 @query(f"WITH d AS MATERIALIZED (SELECT doc_id, {_block_sql('text')} AS clean FROM documents) SELECT doc_id, {_skeleton_sql('clean')} AS skeleton FROM d")
 def skeleton_docs(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents")).select("doc_id", text.skeleton(text.block_text("text")).alias("skeleton"))

@@ -95,7 +95,33 @@ def first_by_hash(d: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return d.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
-def running(d: DataFrame, order: list, c: str, name: str) -> DataFrame:
-    """d with the largest value of c in the rows before, in order; for tables of settings."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn(name, F.max(c).over(w))
+def expanded(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row on a join that should add no rows: rows before and after it, and keys that it repeated."""
+    n = before.agg(F.count("*").alias("rows_before"))
+    m = after.agg(F.count("*").alias("rows_after"))
+    again = after.groupBy(*keys).agg(F.count("*").alias("a")).join(before.groupBy(*keys).agg(F.count("*").alias("b")), keys, "left").agg(F.count_if(F.col("a") > F.coalesce("b", F.lit(0))).alias("keys_repeated"))
+    return n.crossJoin(m).crossJoin(again)  # one row each
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join that is refused if it would add rows to the left side."""
+    again = duplicates(right, keys)
+    if not again.isEmpty():
+        raise ValueError(f"the right side repeats {keys}: {again.first().asDict()}")
+    return left.join(right, keys, how)
+
+
+def write_json(metrics: DataFrame, path: str) -> None:
+    """Metrics as JSON lines."""
+    metrics.write.mode("overwrite").json(path)
+
+
+def markdown(table: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
+    """(line, text): a table of results as the lines of a Markdown table, in the order of some columns.
+    For tables of a report: a few hundred rows, numbered in one task."""
+    cell = lambda c, t: F.format_number(F.col(c), digits) if t in ("double", "float") else F.col(c).cast("string")
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + 2
+    body = table.select(number.alias("line"), row([F.coalesce(cell(c, t), F.lit("")) for c, t in table.dtypes]).alias("text"))
+    head = table.sparkSession.createDataFrame([(1, "| " + " | ".join(table.columns) + " |"), (2, "|" + "---|" * len(table.columns))], "line int, text string")
+    return head.unionByName(body)
