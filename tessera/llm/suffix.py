@@ -47,8 +47,8 @@ TOGETHER = 512
 RANGES = (24, 4, 1)
 #: Bytes of contexts that get a suffix array at once, and that a task compares.
 BATCH_BYTES, TASK_BYTES = 1 << 18, 1 << 21
-#: Windows of an array that are held as strings at once.
-SLICE = 1 << 16
+#: Windows of an array that are held as strings at once, and bytes of a window that are kept beside its place.
+SLICE, HEAD = 1 << 16, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 CONTEXT = ["key", "ctx", "ctx2"]
@@ -105,26 +105,30 @@ class Anchors:
 
 class Level:
     """A suffix array: places in a text (one character for a byte) in the order of the `length`
-    characters there, and the name of each."""
+    characters there, the first of these characters, and the name of each place."""
 
-    def __init__(self, text: str, starts: np.ndarray, names: np.ndarray, length: int) -> None:
-        self.text, self.starts, self.names, self.length = text, starts, names, length
+    def __init__(self, text: str, starts: np.ndarray, names: np.ndarray, heads: np.ndarray, length: int) -> None:
+        self.text, self.starts, self.names, self.heads, self.length = text, starts, names, heads, length
 
     @classmethod
-    def of(cls, text: str, starts: np.ndarray, names: np.ndarray, length: int) -> tuple[Level, np.ndarray]:
+    def of(cls, data: bytes, starts: np.ndarray, names: np.ndarray, length: int) -> tuple[Level, np.ndarray]:
         """The suffix array of the places, and which of its windows equal another."""
-        out = cls(text, starts, names, length)
-        window = out.windows(0, len(starts))
+        wide = min(HEAD, length)
+        out = cls(str(data, "latin-1"), starts, names, np.zeros(0, f"S{wide}"), length)
+        window = out.windows(np.arange(len(starts)))
         order = np.array(sorted(range(len(window)), key=window.__getitem__), np.int64)
         out.starts, out.names = starts[order], names[order]
+        if len(starts):
+            views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), wide)
+            out.heads = np.ascontiguousarray(views[out.starts]).view(f"S{wide}").reshape(-1)
         return out, _in_runs([window[i] for i in order.tolist()])
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def windows(self, i: int, j: int) -> list[str]:
+    def windows(self, at: np.ndarray) -> list[str]:
         t, n = self.text, self.length
-        return [t[s : s + n] for s in self.starts[i:j].tolist()]
+        return [t[s : s + n] for s in self.starts[at].tolist()]
 
 
 def _in_runs(ordered: list[str]) -> np.ndarray:
@@ -136,24 +140,35 @@ def _in_runs(ordered: list[str]) -> np.ndarray:
 
 def merge_scan(a: Level, b: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass over two suffix arrays: how many windows of a come before each window of b when they
-    are merged; which windows of a, and which of b, equal another. (Windows of one array that equal each other
-    are marked when the array is made.)
+    are merged; which windows of a, and which of b, equal another. (Windows of one array that equal
+    each other are marked when the array is made.)
 
+    Heads of both arrays are merged first; only windows whose heads are in both are compared whole.
     Sorting two sorted runs, Python's sort merges them: linear in comparisons."""
-    upper, in_a, in_b = np.zeros(len(b), np.int64), np.zeros(len(a), bool), np.zeros(len(b), bool)
-    other, done = b.windows(0, len(b)), 0
-    for i in range(0, len(a), SLICE):
-        mine = a.windows(i, i + SLICE)
-        stop = len(other) if i + SLICE >= len(a) else bisect_right(other, mine[-1], done)
+    low, upper = np.searchsorted(a.heads, b.heads, "left"), np.searchsorted(a.heads, b.heads, "right")
+    in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    tied = np.flatnonzero(low < upper)
+    edge = np.zeros(len(a) + 1, np.int64)
+    np.add.at(edge, low[tied], 1)
+    np.add.at(edge, upper[tied], -1)
+    mine_at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+    other, done = b.windows(tied), 0
+    for i in range(0, len(mine_at), SLICE):
+        at = mine_at[i : i + SLICE]
+        mine = a.windows(at)
+        stop = len(other) if i + SLICE >= len(mine_at) else bisect_right(other, mine[-1], done)
         if stop == done:
             continue
         both = mine + other[done:stop]
         order = np.array(sorted(range(len(both)), key=both.__getitem__), np.int64)
         equal = _in_runs([both[k] for k in order.tolist()])
         from_b = order >= len(mine)
-        upper[done:stop] = i + np.cumsum(~from_b)[from_b]
-        in_a[i : i + len(mine)] = equal[~from_b]
-        in_b[done:stop] = equal[from_b]
+        # The last window of a before each of b: of the same head, or all of that head come after.
+        before = np.cumsum(~from_b)[from_b] - 1
+        last = np.where(before >= 0, at[before], mine_at[i - 1] if i else -1)
+        upper[tied[done:stop]] = np.maximum(low[tied[done:stop]], last + 1)
+        in_a[at] = equal[~from_b]
+        in_b[tied[done:stop]] = equal[from_b]
         done = stop
     return upper, in_a, in_b
 
@@ -162,10 +177,12 @@ def merged(a: Level, b: Level, upper: np.ndarray) -> Level:
     """Two suffix arrays as one, given how many windows of a come before each of b."""
     from_b = np.zeros(len(a) + len(b), bool)
     from_b[upper + np.arange(len(b))] = True
-    starts, names = np.empty(len(from_b), np.int64), np.empty(len(from_b), np.int64)
-    starts[from_b], starts[~from_b] = b.starts + len(a.text), a.starts
-    names[from_b], names[~from_b] = b.names, a.names
-    return Level(a.text + b.text, starts, names, a.length)
+    out = []
+    for x, y in ((a.starts, b.starts + len(a.text)), (a.names, b.names), (a.heads, b.heads)):
+        both = np.empty(len(from_b), x.dtype)
+        both[from_b], both[~from_b] = y, x
+        out.append(both)
+    return Level(a.text + b.text, *out, a.length)
 
 
 class Family:
@@ -178,24 +195,26 @@ class Family:
         self.marks: list[np.ndarray] = []
 
     def add(self, data: bytes, starts: np.ndarray) -> None:
-        """Index the windows of `length` bytes of data at starts, numbered on from those before."""
+        """Index the windows of `length` bytes of data at starts, numbered on from those before.
+
+        The new array is scanned against every level: against those that it is merged with as it is
+        merged, against the others by itself."""
         names = np.arange(self.count, self.count + len(starts))
         self.count += len(starts)
-        new, twice = Level.of(str(data, "latin-1"), starts, names, self.length)
+        new, twice = Level.of(data, starts, names, self.length)
         self.marks.append(new.names[twice])
-        place = None
-        for j, level in self.levels.items():
-            upper, old_hit, new_hit = merge_scan(level, new)
-            self.marks += [level.names[old_hit], new.names[new_hit]]
-            if j == 0:
-                place = upper
-        j = 0
+        j, grown = 0, new
         while j in self.levels:
             old = self.levels.pop(j)
-            new = merged(old, new, place if j == 0 else merge_scan(old, new)[0])
+            upper, old_hit, new_hit = merge_scan(old, grown)
+            self.marks += [old.names[old_hit], grown.names[new_hit]]
+            grown = merged(old, grown, upper)
             self.merges += 1
             j += 1
-        self.levels[j] = new
+        for level in self.levels.values():
+            _, old_hit, new_hit = merge_scan(level, new)
+            self.marks += [level.names[old_hit], new.names[new_hit]]
+        self.levels[j] = grown
         self.most_levels = max(self.most_levels, len(self.levels))
 
     def repeated(self) -> np.ndarray:

@@ -120,26 +120,28 @@ def test_family_finds_all_repeats():
             family.add(b"".join(some), np.array(starts))
         assert sorted(family.levels) == [1, 2, 3] and family.merges == 11  # 14 batches: 8 + 4 + 2
         for level in family.levels.values():
-            w = level.windows(0, len(level))
+            w = level.windows(np.arange(len(level)))
             assert w == sorted(w)
         c = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = [c[t[i : i + length]] > 1 for t in texts for i in range(len(t) - length + 1)]
         assert family.repeated().tolist() == want
 
 
-def test_merge_scan_in_slices(monkeypatch):
+@pytest.mark.parametrize("head", [1, 2, 16])
+def test_merge_scan_in_slices(monkeypatch, head):
     monkeypatch.setattr(suffix, "SLICE", 3)
+    monkeypatch.setattr(suffix, "HEAD", head)
     rng = random.Random(8)
     for _ in range(30):
         parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(4, 40))) for _ in range(2)]
-        a, b = (suffix.Level.of(t, np.arange(len(t) - 3), np.arange(len(t) - 3), 4) for t in parts)
+        a, b = (suffix.Level.of(t.encode(), np.arange(len(t) - 3), np.arange(len(t) - 3), 4) for t in parts)
         upper, in_a, in_b = suffix.merge_scan(a[0], b[0])
-        x, y = (z[0].windows(0, len(z[0])) for z in (a, b))
+        x, y = (z[0].windows(np.arange(len(z[0]))) for z in (a, b))
         assert all(sum(p < q for p in x) <= u <= sum(p <= q for p in x) for u, q in zip(upper.tolist(), y, strict=True))
         assert (in_b | b[1]).tolist() == [q in x or y.count(q) > 1 for q in y]
         assert (in_a | a[1]).tolist() == [p in y or x.count(p) > 1 for p in x]
         both = suffix.merged(a[0], b[0], upper)
-        assert both.windows(0, len(both)) == sorted(x + y)
+        assert both.windows(np.arange(len(both))) == sorted(x + y)
 
 
 def test_anchors_are_in_step():
