@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import base, decisions, models, retrieval, similarity, tables, texts  # noqa: F401  (registering is an import's work)
+from .registry import base, decisions, evaluation, models, retrieval, similarity, tables, texts  # noqa: F401  (registering is an import's work)
 
 
 def queries() -> dict[str, base.Query]:

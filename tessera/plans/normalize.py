@@ -3,7 +3,9 @@ retrieval and matching read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import address, names, scripts
@@ -46,6 +48,14 @@ def learn_token_map(pairs: DataFrame, of: str, to: str, min_votes: int = 1, min_
     return d.where((F.col("_n") == 1) & (F.col("v") >= min_votes) & (F.col("v") >= min_share * F.col("_all"))).select("tok", "new", F.col("v").alias("votes"), F.round(F.col("v") / F.col("_all"), 6).alias("share"))
 
 
+def kept_token_map(spark: SparkSession, path: str, learn: Callable[[], DataFrame]) -> DataFrame:
+    """The token map kept at a path, learned and written there if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        learn().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def devanagari_pairs(norm: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     """(latin_name, dev_name) of true pairs of a Latin S1 and a Devanagari record."""
     a = norm.where("script = 'latin'").select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("latin_name"))
