@@ -109,6 +109,12 @@ def prepare_match_v0(norm: DataFrame) -> DataFrame:
     )
 
 
+def prepare_match_latin(norm: DataFrame) -> DataFrame:
+    """The first generation's fields with names in Devanagari replaced by their Latin form."""
+    latin = F.when(F.col("script") == "devanagari", F.col("name_latin")).otherwise(F.col("name_norm"))
+    return prepare_match_v0(norm.withColumn("name_norm", text.blank(latin)))
+
+
 def name_idf(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(country, tok, idf) of skeleton tokens in the pool, and (country, max_idf) for unseen ones."""
     n = pool.groupBy("country").agg(F.count("*").alias("n"))
@@ -125,6 +131,18 @@ def record_stats(records: DataFrame, idf: DataFrame, unseen: DataFrame, name_cou
     return records.select("entity_id", "country", "name_m").join(name_counts, ["country", "name_m"], "left").join(stats, "entity_id", "left").select("entity_id", F.coalesce("name_cnt", F.lit(0)).alias("name_cnt"), "tok_maxidf", "tok_minidf")
 
 
+def scaled_idf(pairs: DataFrame, match: DataFrame, pool: DataFrame) -> DataFrame:
+    """pairs with RECORD, the rarity of the tokens of either name, and with all rarities divided by the
+    largest of the country, ln(pool + 1), so that they compare between pools of different sizes."""
+    idf, unseen = name_idf(pool)
+    names = pool.groupBy("country", "name_m").agg(F.count("*").alias("name_cnt"))
+    stats = staged(record_stats(match, idf, unseen, names), "stats")
+    q = stats.select(F.col("entity_id").alias("s1_id"), F.col("tok_minidf").alias("q_tok_minidf"))
+    p = stats.select(F.col("entity_id").alias("cand_id"), F.col("tok_maxidf").alias("p_tok_maxidf"), F.col("tok_minidf").alias("p_tok_minidf"))
+    d = pairs.join(q, "s1_id", "left").join(p, "cand_id", "left").join(F.broadcast(unseen), "country", "left")  # a row for each country
+    return d.withColumns({c: F.col(c) / F.col("max_idf") for c in ("q_only_idf", "p_only_idf", *RECORD)}).drop("max_idf")
+
+
 def one_sided_idf(pairs: DataFrame, column: str, idf: DataFrame, unseen: DataFrame) -> DataFrame:
     """(s1_id, cand_id, <column>_idf): the largest idf among the tokens of a list column."""
     tok = pairs.select("country", "s1_id", "cand_id", F.explode(column).alias("tok")).join(idf, ["country", "tok"], "left").join(F.broadcast(unseen), "country", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocks, decide, features, metrics, models
+from ..operators import records as record_features
 from ..storage import staged
 from .normalize import normalize
 
@@ -67,17 +68,113 @@ def pair_table(records: DataFrame, preset: Preset, match: DataFrame | None = Non
     return out.join(keep, ["s1_id", "cand_id"]) if extra else out
 
 
-def link(records: DataFrame, truth: DataFrame, preset: Preset = PRESETS["v3"], rounds: int = 10) -> DataFrame:
+def pruned(pairs: DataFrame, truth: DataFrame, cols: list[str], preset: Preset, rounds: int, depth: int = 5) -> DataFrame:
+    """The candidates that two half models leave. S1 that the models learn from are scored by the one
+    that did not see them, the others by both, so no later model learns from scores of seen rows."""
+    known = truth.select("s1_id")
+    pruners, unseen = models.two_fold_pruner(pairs.join(known, "s1_id", "left_semi"), cols, rounds=rounds, depth=depth)
+    others = models.predict_mean(pruners, pairs.join(known, "s1_id", "left_anti"), cols)
+    return staged(features.select_candidates(unseen.unionByName(others), preset.final_k, preset.least), "candidates")
+
+
+def link(records: DataFrame, truth: DataFrame, preset: Preset = PRESETS["v2"], rounds: int = 10, depth: int = 5) -> DataFrame:
     """Decided matches (country, s1_id, cand_id, prob): retrieve, prune with two half models, look at
     the candidates of an S1 together, score, decide. The truth is that of the S1 to learn from."""
     match = match_table(records)
     pairs = staged(labelled(pair_table(records, preset, match), truth), "labelled")
     cols = [f for f in preset.features if f in pairs.columns]
-    learn = pairs.join(truth.select("s1_id"), "s1_id", "left_semi")
-    pruners, _ = models.two_fold_pruner(learn, cols, rounds=rounds)
-    pruned = staged(features.select_candidates(models.predict_mean(pruners, pairs, cols), preset.final_k, preset.least), "candidates")
-    listed = staged(features.sibling_features(features.list_features(pruned), match), "listed")
+    listed = staged(features.sibling_features(features.list_features(pruned(pairs, truth, cols, preset, rounds, depth)), match), "listed")
     final = [*cols, *features.LISTWISE, *features.SIBLING]
-    model = models.fit_trees(listed.join(truth.select("s1_id"), "s1_id", "left_semi"), final, rounds=rounds)
-    scored = models.predict(model, listed, final)
-    return decide.decide(scored, preset.t, preset.t1, preset.exclusive).select("country", "s1_id", "cand_id", "prob")
+    model = models.fit_trees(listed.join(truth.select("s1_id"), "s1_id", "left_semi"), final, rounds=rounds, depth=depth)
+    return decided(models.predict(model, listed, final), preset)
+
+
+def decided(scored: DataFrame, preset: Preset, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Matches by the preset's thresholds, or those of a country where it has its own."""
+    t = decide.country_threshold(preset.t, thresholds or {})
+    return decide.decide(scored, t, preset.t1, preset.exclusive).select("country", "s1_id", "cand_id", "prob")
+
+
+# ------------------------------------------------------------------ models of records
+
+
+def orphan_frame(records: DataFrame, reverse: DataFrame, truth: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Records of the other sources with their features and y, 1 if no truth list has them; and owner,
+    the S1 that has them, or else the record itself."""
+    d = record_features.pool_frame(records).join(record_features.reverse_summary(reverse), "rec_id", "left")
+    cols = [c for c in d.columns if c not in ("rec_id", "country")]
+    owner = metrics.pairs_of(truth).groupBy(F.col("cand_id").alias("rec_id")).agg(F.min("s1_id").alias("_owner"))
+    d = d.join(owner, "rec_id", "left")
+    return d.withColumns({"y": F.col("_owner").isNull().cast("int"), "owner": F.coalesce("_owner", "rec_id")}).drop("_owner"), cols
+
+
+def orphan_scores(records: DataFrame, reverse: DataFrame, truth: DataFrame, grouped: bool = True, folds: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
+    """(rec_id, country, y, orphan_prob): each record scored by a model that saw neither it nor, if grouped,
+    any record of its owner."""
+    d, cols = orphan_frame(records, reverse, truth)
+    d = staged(d, "orphans")
+    return staged(models.out_of_fold(d, cols, "owner" if grouped else "rec_id", folds, name="orphan_prob", rounds=rounds, depth=depth).select("rec_id", "country", "y", "orphan_prob"), "orphan-scores")
+
+
+def zero_scores(records: DataFrame, reverse: DataFrame, orphans: DataFrame, truth: DataFrame, folds: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
+    """(s1_id, country, y, p_zero): how likely each S1 is to have no match, out of fold; y is 1 for an S1
+    without a match in the truth, or without a truth."""
+    d = record_features.s1_frame(records).join(record_features.s1_reverse(reverse, orphans.select("rec_id", "orphan_prob")), "s1_id", "left")
+    cols = [c for c in d.columns if c not in ("s1_id", "country")]
+    has = truth.where(F.size("matched_ids") > 0).select("s1_id", F.lit(1).alias("_has"))
+    d = staged(d.join(has, "s1_id", "left").withColumn("y", F.col("_has").isNull().cast("int")).drop("_has"), "zeros")
+    return staged(models.out_of_fold(d, cols, "s1_id", folds, name="p_zero", rounds=rounds, depth=depth).select("s1_id", "country", "y", "p_zero"), "zero-scores")
+
+
+# ------------------------------------------------------------------ the last generation
+
+
+@dataclass(frozen=True)
+class Final:
+    """What the final model reads, kept so that decisions can be made anew: candidates with all features,
+    and their names."""
+
+    candidates: DataFrame
+    features: list[str]
+
+
+def final_candidates(records: DataFrame, truth: DataFrame, preset: Preset = PRESETS["v3"], rounds: int = 10, depth: int = 5) -> Final:
+    """Candidates with pair, block, record, list, sibling, reverse, orphan, zero and legal-form features."""
+    normal = staged(normalize(records), "normalized")
+    match = staged(features.prepare_match(normal), "match")
+    pool = match.where(~blocks.is_source(1))
+    pairs = features.scaled_idf(labelled(pair_table(records, preset, match), truth), match, pool)
+    pairs = staged(pairs, "labelled")
+    cols = [f for f in (*preset.features, *features.RECORD) if f in pairs.columns]
+    listed = features.sibling_features(features.list_features(pruned(pairs, truth, cols, preset, rounds, depth)), match)
+    reverse = staged(blocks.reverse_search(blocks.prepare(records)), "reverse")
+    orphans = orphan_scores(records, reverse, truth, rounds=rounds, depth=depth)
+    zero = zero_scores(records, reverse, orphans, truth, rounds=rounds, depth=depth)
+    listed = features.extra_features(listed, reverse, orphans)
+    listed = staged(features.late_features(listed, zero, normal.select("entity_id", "legal_suffix")), "final")
+    return Final(listed, [f for f in features.final_features(preset.blocks) if f in listed.columns])
+
+
+def rescore(final: Final, truth: DataFrame, preset: Preset = PRESETS["v3"], orphan_weight: float = 1.6, thresholds: dict[str, float] | None = None, rounds: int = 10, depth: int = 5) -> DataFrame:
+    """Decided matches from kept candidates: fit the final model, with the weight for negatives whose
+    record no truth list has, score and decide anew."""
+    learn = final.candidates.join(truth.select("s1_id"), "s1_id", "left_semi")
+    weighted = models.orphan_weights(learn, metrics.pairs_of(truth), orphan_weight)
+    model = models.fit_trees(weighted, final.features, weight="w", rounds=rounds, depth=depth)
+    return decided(models.predict(model, final.candidates, final.features), preset, thresholds)
+
+
+def link_v3(records: DataFrame, truth: DataFrame, preset: Preset = PRESETS["v3"], orphan_weight: float = 1.6, thresholds: dict[str, float] | None = None, rounds: int = 10, depth: int = 5) -> DataFrame:
+    """The whole of the last generation: final_candidates and rescore."""
+    return rescore(final_candidates(records, truth, preset, rounds, depth), truth, preset, orphan_weight, thresholds, rounds, depth)
+
+
+def score_report(scored: DataFrame, truth: DataFrame, k: int, t: float, t1: float, ts: list[float], t1s: list[float]) -> DataFrame:
+    """One row on scored pairs of a model used elsewhere: the k best of each S1, their recall and ceiling,
+    macro F0.5 at given thresholds, and the best thresholds with theirs."""
+    top = decide.ranked(scored).where(F.col("block_rank") <= k)
+    per = metrics.per_record(top, truth).withColumn("oracle", metrics.oracle(F.col("tp"), F.col("n_true")))
+    sums = per.agg(F.count("*").alias("n_s1"), F.sum("n_cand").alias("pairs"), F.sum("tp").alias("hits"), F.try_divide(F.sum("tp"), F.sum("n_true")).alias("pair_recall"), F.avg("oracle").alias("oracle"))
+    fixed = metrics.macro_f05(decide.decide(top, t, t1), truth).select(F.col("macro_f05").alias("f05_fixed"))
+    grid = metrics.threshold_grid(top, truth, ts, t1s).orderBy(F.desc(F.round("macro_f05", 9)), "t", "t1").limit(1)
+    return sums.crossJoin(fixed).crossJoin(grid.select(F.col("macro_f05").alias("f05_tuned"), "t", "t1"))  # one row each

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decide, metrics, models
+from ..operators import blocks, decide, features, metrics, models
 from ..operators.tfidf import Block
 from ..plans import linkage
+from ..plans.normalize import normalize
+from ..storage import staged
 from ..streaming.incremental import arrivals
-from .base import RECORDS, query, r6, records, scored, table, truth
+from .base import RECORDS, order_truth, query, r6, records, scored, table, truth
 from .decisions import ALL
 from .retrieval import TRUTH, block_sql, blocks_sql
 from .texts import BLOCK_VIEWS
@@ -61,6 +63,88 @@ def gbt_transfer(spark, sf_dir):
     return metrics.auc(models.predict(m, x, FEATURES), "prob", "y", ["country"]).withColumn("auc", F.round("auc", 4))
 
 
+# ------------------------------------------------------------------ the whole matcher
+
+# Parts are records: name and kind, size and street, the brand is the country; a third of them is
+# source 1. Records of one name and kind in a brand are true matches.
+
+
+def part_records(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("S"), (F.col("p_partkey") % 3 + 1).cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("entity_id"),
+        F.concat_ws(" ", "p_name", F.lower("p_type"), F.when(F.col("p_size") % 4 == 0, "ltd")).alias("name"),
+        F.concat_ws(" ", F.col("p_size").cast("string"), "p_name", F.lit("street")).alias("address"),
+        F.col("p_brand").alias("country"),
+    )
+
+
+def part_truth(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select(F.concat(F.lit("S"), (F.col("p_partkey") % 3 + 1).cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("id"), "p_name", "p_type", "p_brand")
+    s1 = d.where(F.col("id").startswith("S1-")).withColumnRenamed("id", "s1_id")
+    rest = d.where(~F.col("id").startswith("S1-")).withColumnRenamed("id", "cand_id")
+    lists = metrics.lists_of(s1.join(rest, ["p_name", "p_type", "p_brand"]).select("s1_id", "cand_id"))
+    return s1.select("s1_id").join(lists, "s1_id", "left").select("s1_id", F.coalesce("matched_ids", F.array().cast("array<string>")).alias("matched_ids"))
+
+
+@query()
+def link_v3(spark, sf_dir):
+    """Records to decided matches by the last generation's features, weights and country thresholds."""
+    d = linkage.link_v3(part_records(spark, sf_dir), part_truth(spark, sf_dir), thresholds={"Brand#1": 0.95}, rounds=3, depth=3)
+    return d.select("country", "s1_id", "cand_id", r6("prob").alias("prob"))
+
+
+@query()
+def orphan_oof(spark, sf_dir):
+    """Records that no list has, scored out of fold."""
+    d, t = part_records(spark, sf_dir), part_truth(spark, sf_dir)
+    reverse = staged(blocks.reverse_search(blocks.prepare(d)), "reverse")
+    return linkage.orphan_scores(d, reverse, t, rounds=3, depth=3).select("rec_id", "y", r6("orphan_prob").alias("orphan_prob"))
+
+
+@query()
+def zero_oof(spark, sf_dir):
+    """Source-1 records without a match, scored out of fold with the orphan scores."""
+    d, t = part_records(spark, sf_dir), part_truth(spark, sf_dir)
+    reverse = staged(blocks.reverse_search(blocks.prepare(d)), "reverse")
+    orphans = linkage.orphan_scores(d, reverse, t, rounds=3, depth=3)
+    return linkage.zero_scores(d, reverse, orphans, t, rounds=3, depth=3).select("s1_id", "y", r6("p_zero").alias("p_zero"))
+
+
+@query()
+def pair_features_parts(spark, sf_dir):
+    """All pair features of the pairs that both matching views retrieve."""
+    return linkage.pair_table(part_records(spark, sf_dir), linkage.PRESETS["v1"])
+
+
+@query()
+def compact_pairs(spark, sf_dir):
+    """The compact features of the alternative pruner."""
+    views = staged(blocks.prepare(part_records(spark, sf_dir)), "views")
+    return features.compact_features(blocks.retrieve(views, ("word", "skel")), views)
+
+
+@query()
+def match_fields_latin(spark, sf_dir):
+    """The first generation's matching fields, names in Latin letters."""
+    return features.prepare_match_latin(normalize(records(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {ALL}, top AS (SELECT * FROM ranked WHERE block_rank <= 3), p AS (SELECT t.s1_id, any_value(n_true) AS n_true, count(x.cand_id) AS n, count(w.cand_id) AS tp FROM truth t LEFT JOIN top x ON x.s1_id = t.s1_id LEFT JOIN want w ON w.s1_id = x.s1_id AND w.cand_id = x.cand_id GROUP BY t.s1_id),
+s AS (SELECT count(*) AS n_s1, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(tp) AS BIGINT) AS hits, round(sum(tp) / sum(n_true), 6) AS pair_recall, round(avg(CASE WHEN n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_true) / (0.25 + tp / n_true) END), 6) AS oracle FROM p),
+g AS (SELECT t, u AS t1 FROM (SELECT unnest([0.5, 0.7, 0.8]::DOUBLE[]) AS t), (SELECT unnest([0.3, 0.5]::DOUBLE[]) AS u) WHERE u <= t),
+d AS (SELECT t, t1, r.s1_id, count(*) AS n, count(w.cand_id) AS tp FROM g JOIN top r ON r.prob >= t OR (r.prob = best AND r.prob >= t1) LEFT JOIN want w ON w.s1_id = r.s1_id AND w.cand_id = r.cand_id GROUP BY ALL),
+x AS (SELECT g.t, g.t1, n_true, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM g CROSS JOIN truth t LEFT JOIN d ON d.t = g.t AND d.t1 = g.t1 AND d.s1_id = t.s1_id),
+m AS (SELECT t, t1, avg(CASE WHEN n_true = 0 THEN CAST(n = 0 AS DOUBLE) WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n) * (tp / n_true) / (0.25 * (tp / n) + tp / n_true) END) AS f FROM x GROUP BY ALL),
+b AS (SELECT * FROM m ORDER BY round(f, 9) DESC, t, t1 LIMIT 1)
+SELECT s.*, round(f.f, 6) AS f05_fixed, round(b.f, 6) AS f05_tuned, b.t, b.t1 FROM s, b, m f WHERE f.t = 0.7 AND f.t1 = 0.5"""
+)
+def scorer_report(spark, sf_dir):
+    """Scored pairs of a model: the three best of each record, at fixed and at tuned thresholds."""
+    out = linkage.score_report(scored(spark, sf_dir), order_truth(spark, sf_dir), 3, 0.7, 0.5, [0.5, 0.7, 0.8], [0.3, 0.5])
+    return out.withColumns({c: r6(c) for c in ("pair_recall", "oracle", "f05_fixed", "f05_tuned")})
+
+
 _LINES = """l AS (SELECT 'S1-' || l_orderkey AS s1_id, 'S2-' || l_partkey || '.' || l_linenumber AS cand_id, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_quantity FROM lineitem)"""
 
 
@@ -80,8 +164,6 @@ m AS (SELECT t, t1, round(avg(CASE WHEN n_true = 0 THEN CAST(n = 0 AS DOUBLE) WH
 SELECT macro_f05, t, t1 FROM m ORDER BY macro_f05 DESC, t, t1 LIMIT 1"""
 )
 def tuned_thresholds(spark, sf_dir):
-    from .base import order_truth
-
     best = models.tune(scored(spark, sf_dir), order_truth(spark, sf_dir), [0.5, 0.7, 0.9], [0.3, 0.5])
     return spark.createDataFrame([tuple(float(round(x, 6)) for x in best)], "macro_f05 double, t double, t1 double")
 
@@ -92,8 +174,6 @@ SELECT c.*, CAST(row_number() OVER (PARTITION BY c.s1_id ORDER BY block_score DE
 )
 def word_candidates(spark, sf_dir):
     """The candidate pipeline on two blocks, labelled by the truth."""
-    from ..operators import blocks
-
     found = linkage.candidates(blocks.prepare(records(spark, sf_dir)), ("word", "namenum"))
     return linkage.labelled(found, truth(spark, sf_dir)).select("s1_id", "cand_id", "sources", "block_score", "block_rank", "y")
 
