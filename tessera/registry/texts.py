@@ -155,13 +155,65 @@ def script_class_names(spark, sf_dir):
     return values(spark, SCRIPTS, "id int, name string").select("id", scripts.script("name").alias("script"))
 
 
-@query()
+def _clean_sql(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(replace(lower(coalesce({c}, '')), '&', ' and '), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+#: The oracle's own copy of the fixed values of Indic letters, in the order of the block.
+_CONSONANT_LIST = "क k ख kh ग g घ gh ङ ng च ch छ chh ज j झ jh ञ ny ट t ठ th ड d ढ dh ण n त t थ th द d ध dh न n \u0929 n प p फ ph ब b भ bh म m य y र r \u0931 r ल l ळ l \u0934 l व v श sh ष sh स s ह h \u0958 q \u0959 kh \u095a gh \u095b z \u095c r \u095d rh \u095e f \u095f y"
+_SIGN_LIST = "ा aa ि i ी ee ु u ू oo ृ ri ॄ ri ॅ e ॆ e े e ै ai ॉ o ॊ o ो o ौ au \u0957 au"
+_OTHER_LIST = "ँ n ं n ः h अ a आ aa इ i ई ee उ u ऊ oo ऋ ri ऎ e ए e ऐ ai ऑ o ऒ o ओ o औ au ऍ e ० 0 १ 1 २ 2 ३ 3 ४ 4 ५ 5 ६ 6 ७ 7 ८ 8 ९ 9"
+
+
+def _map_sql(pairs: str, without: str = "") -> str:
+    x = pairs.split()
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in zip(x[::2], x[1::2], strict=True) if k not in without) + "}"
+
+
+def _letters_sql(letters: str, one: str) -> str:
+    """A text rebuilt letter by letter: `one` on c (the letters), i (the place)."""
+    return f"array_to_string(list_transform([string_split({letters}, '')], lambda c: list_transform(range(1, len(c) + 1), lambda i: {one}))[1], '')"
+
+
+def _indic_sql(t: str) -> str:
+    """Any of nine scripts, folded to one block without its dots."""
+    fold = f"replace({_letters_sql(t, 'CASE WHEN ord(c[i]) BETWEEN 2432 AND 3455 THEN chr(CAST(2304 + (ord(c[i]) - 2304) % 128 AS INTEGER)) ELSE c[i] END')}, '\u093c', '')"
+    con, sign, other = _map_sql(_CONSONANT_LIST), _map_sql(_SIGN_LIST), _map_sql(_OTHER_LIST)
+    after = f"coalesce(ord(c[i + 1]) BETWEEN 2304 AND 2431 AND {sign}[c[i + 1]] IS NULL AND c[i + 1] NOT IN ('\u094d', 'ँ', 'ं', 'ः'), false)"
+    one = f"CASE WHEN {con}[c[i]] IS NOT NULL THEN {con}[c[i]] || CASE WHEN {after} THEN 'a' ELSE '' END WHEN {sign}[c[i]] IS NOT NULL THEN CASE WHEN i > 1 AND {con}[c[i - 1]] IS NOT NULL THEN {sign}[c[i]] ELSE '' END WHEN ord(c[i]) BETWEEN 2304 AND 2431 THEN coalesce({other}[c[i]], '') ELSE c[i] END"
+    return _letters_sql(fold, one)
+
+
+def _devanagari_sql(t: str) -> str:
+    """A token of a name in Devanagari."""
+    unused = "\u0929\u0931\u0934\u095fऎऒ\u0957"
+    con, sign, other = (_map_sql(x, unused) for x in (_CONSONANT_LIST, _SIGN_LIST, _OTHER_LIST))
+    dots = f"regexp_replace({t}, '([क-नप-रलळव-ह\u0958-\u095e])\u093c', '\\1', 'g')"
+    after = f"i < len(c) AND {sign}[c[i + 1]] IS NULL AND c[i + 1] <> '\u094d'"
+    one = f"CASE WHEN {con}[c[i]] IS NOT NULL THEN {con}[c[i]] || CASE WHEN {after} THEN 'a' ELSE '' END WHEN {sign}[c[i]] IS NOT NULL THEN CASE WHEN i > 1 AND {con}[c[i - 1]] IS NOT NULL THEN {sign}[c[i]] ELSE 'x' END WHEN c[i] IN ('\u093c', '\u094d', 'ऽ') THEN '' WHEN ord(c[i]) BETWEEN 2304 AND 2431 THEN coalesce({other}[c[i]], 'x') ELSE strip_accents(c[i]) END"
+    return f"lower({_letters_sql(dots, one)})"
+
+
+def _latin_sql(c: str) -> str:
+    """A cleaned core in Latin letters, less a legal form at its end."""
+    token = f"CASE WHEN regexp_matches(t, '[\\x{{900}}-\\x{{97f}}]') THEN {_devanagari_sql('t')} ELSE regexp_replace(CASE WHEN regexp_matches(t, '[\\p{{Latin}}\\p{{Greek}}]') THEN strip_accents(t) ELSE t END, '\\p{{Mn}}', '', 'g') END"
+    forms = "|".join(("private limited", "limited liability company", "limited", "company", "corporation", "incorporated"))
+    return f"regexp_replace(array_to_string(list_transform(list_filter(string_split({c}, ' '), lambda t: t <> ''), lambda t: {token}), ' '), '^(.+?) (?:{forms})$', '\\1')"
+
+
+@query(f"WITH {sql_values(SCRIPTS, 'v', 'id, name')}, n AS (SELECT CAST(id AS INTEGER) AS id, {_clean_sql('nfc_normalize(name)')} AS c FROM v) SELECT id, {_latin_sql('c')} AS latin FROM n")
 def transliterate_names(spark, sf_dir):
     d = values(spark, SCRIPTS, "id int, name string")
     return d.select("id", scripts.transliterate(text.clean_text("name")).alias("latin"))
 
 
-@query()
+_LATINIZED = f"CASE WHEN regexp_matches(t, '[^\\P{{L}}\\p{{Latin}}]') THEN {_indic_sql('t')} ELSE strip_accents(t) END"
+
+
+@query(
+    f"""WITH {sql_values(SCRIPTS, 'v', 'id, name')}, n AS (SELECT CAST(id AS INTEGER) AS id, trim(regexp_replace(lower(regexp_replace(nfc_normalize(coalesce(name, '')), '[\\x{{200b}}-\\x{{200d}}]', '', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')) AS c FROM v)
+SELECT id, array_to_string(list_transform(list_filter(string_split(c, ' '), lambda t: t <> ''), lambda t: {_LATINIZED}), ' ') AS name FROM n"""
+)
 def latinize_names(spark, sf_dir):
     d = values(spark, SCRIPTS, "id int, name string").select("id", text.block_text("name").alias("name"))
     return scripts.latinize(d, "name")
@@ -172,10 +224,6 @@ def _expand_sql(c: str, mapping: dict[str, str]) -> str:
     return f"array_to_string(list_transform(string_split({c}, ' '), lambda t: CASE t {cases} ELSE t END), ' ')"
 
 
-def _clean_sql(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(replace(lower(coalesce({c}, '')), '&', ' and '), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
 def _dotted_sql(c: str) -> str:
     for spaced in names.DOTTED:
         c = f"regexp_replace({c}, '(^| ){spaced}($| )', '\\1{spaced.replace(' ', '')}\\2', 'g')"
@@ -315,7 +363,13 @@ def token_vote_map(spark, sf_dir):
 VOTES = [(1, "shri ram traders", "श्री राम ट्रेडर्स"), (2, "ram motors", "राम मोटर्स"), (3, "raam motors", "राम मोटर्स"), (4, "ram", "राम"), (5, "two words", "एक")]
 
 
-@query()
+@query(
+    f"""WITH {sql_values(VOTES, "v", "id, latin_name, dev_name")}, p AS (SELECT string_split(dev_name, ' ') AS a, string_split(latin_name, ' ') AS b FROM v),
+x AS (SELECT a[i] AS tok, b[i] AS new FROM p, unnest(range(1, len(a) + 1)) AS r(i) WHERE len(a) = len(b)), c AS (SELECT tok, new, count(*) AS n FROM x GROUP BY 1, 2),
+m AS (SELECT tok, new FROM c QUALIFY row_number() OVER (PARTITION BY tok ORDER BY n DESC, new) = 1 AND n >= 0.6 * sum(n) OVER (PARTITION BY tok)),
+k AS (SELECT CAST(id AS INTEGER) AS id, string_split(dev_name, ' ') AS a FROM v), t AS (SELECT id, i, coalesce(new, a[i]) AS w FROM k, unnest(range(1, len(a) + 1)) AS r(i) LEFT JOIN m ON m.tok = a[i]),
+j AS (SELECT id, string_agg(w, ' ' ORDER BY i) AS c FROM t GROUP BY 1) SELECT id, {_latin_sql('c')} AS latin FROM j"""
+)
 def learned_map_names(spark, sf_dir):
     d = values(spark, VOTES, "id int, latin_name string, dev_name string")
     token_map = learn_token_map(d, "dev_name", "latin_name", min_share=0.6)
