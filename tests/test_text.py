@@ -2,9 +2,12 @@
 
 import unicodedata
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.functions import address, names, scripts, text
 from tessera.plans.normalize import COLUMNS, learn_token_map, normalize
 
@@ -160,3 +163,23 @@ def test_normalize_contract(spark):
     assert normalize(d.limit(0)).count() == 0
     with pytest.raises(ValueError, match="name"):
         normalize(d.drop("name"))
+
+
+ODD = [
+    "abé.comé é007 x 5stß 12é/3 5thñ théco sas",
+    "x² ½ ﬁn ǿ ß̈ 0٣ İ-3 b-12 / 4 Ǆ007",
+    "œ01 pré.inévitable 3rdÿ deux",
+    None,
+    "a\nb 007́ h́ 1ᷜ/2 b-3İ",
+]
+
+
+def test_block_views_of_odd_latin_texts(spark, tmp_path):
+    """Word ends, digits and marks as in the query's SQL."""
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(ODD)), "text": ODD, "lang": "fr"}))
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = con.sql(catalog.oracle_sql()["block_views"]).df().sort_values("entity_id").reset_index(drop=True)
+    got = catalog.queries()["block_views"](spark, str(tmp_path)).toPandas().sort_values("entity_id").reset_index(drop=True)
+    assert not want["nonlatin"].any()
+    pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False)
