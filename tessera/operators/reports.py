@@ -119,6 +119,49 @@ def pair_agreement(pairs: DataFrame) -> DataFrame:
     return d
 
 
+def joined_agreement(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """pair_agreement of the pairs that a join of two sides on a key would list, which it does not list.
+
+    left (on, country, cross_script, raw, core, postcode) and right (on, raw, core, postcode). Equal
+    names are counted before they meet: pairs by key, agreements by key and value, and the Jaccard sums by key and
+    token, from the distinct sets of tokens that share one."""
+    group = ["country", "cross_script"]
+    left, right = (d.where(F.col(on).isNotNull()) for d in (left, right))
+    sums = ("pairs", "raw", "core", "post", "jac")
+    empty = lambda d, name, value: d.select(*group, *[(value.cast("double") if x == name else F.lit(0.0)).alias(x) for x in sums])
+
+    def sides(*keys: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows of both sides, counted by the key and further values."""
+        names = [f"_k{i}" for i in range(len(keys))]
+        one = left.select(on, *group, *[k.alias(x) for k, x in zip(keys, names, strict=True)])
+        two = right.select(on, *[k.alias(x) for k, x in zip(keys, names, strict=True)])
+        return one.groupBy(on, *group, *names).agg(F.count("*").alias("_n")), two.groupBy(on, *names).agg(F.count("*").alias("_m"))
+
+    def counted(name: str, *keys: Column) -> DataFrame:
+        one, two = sides(*keys)
+        for i in range(len(keys)):
+            one, two = one.where(F.col(f"_k{i}") != ""), two.where(F.col(f"_k{i}") != "")
+        return empty(one.join(two, [on, *[f"_k{i}" for i in range(len(keys))]]), name, F.col("_n") * F.col("_m"))
+
+    # Sets of tokens that share one meet once for each shared token; only the first of these counts.
+    tokens = F.array_sort(F.filter(F.array_distinct(F.split(text.blank("core"), " ")), lambda t: t != ""))
+    one, two = sides(tokens)
+    one = one.select(on, *group, F.col("_k0").alias("_x"), "_n", F.explode("_k0").alias("_t"))
+    two = two.select(on, F.col("_k0").alias("_y"), "_m", F.explode("_k0").alias("_t"))
+    both = F.array_intersect("_x", "_y")
+    met = one.join(two, [on, "_t"]).where(F.element_at(both, 1) == F.col("_t"))
+    jac = empty(met, "jac", F.col("_n") * F.col("_m") * F.size(both) / F.size(F.array_union("_x", "_y")))
+    rows = counted("pairs")
+    for name, column in (("raw", "raw"), ("core", "core"), ("post", "postcode")):
+        rows = rows.unionByName(counted(name, text.blank(column)))
+    rows = rows.unionByName(jac)
+    total = lambda x: F.sum(x) / F.sum("pairs")
+    d = rows.groupingSets([[], [F.col("country")], [F.col("cross_script")]], *group)
+    return d.agg(
+        F.grouping_id().alias("level"), F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("pairs"), total("raw").alias("raw_equal"), total("core").alias("core_equal"), total("post").alias("postcode_equal"), total("jac").alias("core_jaccard")
+    )
+
+
 def rerank(pool: DataFrame, score: str, k: int) -> DataFrame:
     """A fixed pool (q_id, p_id, retrieval, is_true, score) ranked anew by score, then retrieval, then
     id; (q_id, n_true, hits) counts the true ones among the first k."""

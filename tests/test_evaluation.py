@@ -133,3 +133,24 @@ def test_public_names():
     import tessera
 
     assert all(getattr(tessera, n) is not None for n in tessera.__all__)
+
+
+def test_joined_agreement_lists_no_pairs(spark):
+    """As the listed pairs on odd rows; 4 x 10^9 pairs of one key in no time."""
+    names = [None, "", " ", "a", "a b", "b a", "a  a b", "c", "a c d", "d"]
+    one = [(k, c, x, n, m, p) for i, (n, m) in enumerate((n, m) for n in names for m in names) for k, c, x, p in [(None if i % 11 == 0 else i % 3, [None, "fr", "in"][i % 3 - i % 2], [True, False, None][i % 3], names[i % 4])]]
+    two = [(k, n, m, p) for k in (0, 1, None) for n, m, p in zip(names, names[3:] + names[:3], names[5:] + names[:5], strict=True)]
+    left = spark.createDataFrame(one, "k int, country string, cross_script boolean, raw string, core string, postcode string")
+    right = spark.createDataFrame(two, "k int, raw string, core string, postcode string")
+    other = right.select("k", *[F.col(c).alias(f"cand_{c}") for c in ("raw", "core", "postcode")])
+    pairs = left.join(other, "k").withColumnsRenamed({c: f"s1_{c}" for c in ("raw", "core", "postcode")})
+
+    def rows(d):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=repr)
+
+    want = rows(reports.pair_agreement(pairs))
+    assert rows(reports.joined_agreement(left, right, "k")) == want and any(r[-1] for r in want)
+    assert rows(reports.joined_agreement(left.limit(0), right, "k")) == rows(reports.pair_agreement(pairs.limit(0)))
+    n = spark.range(1 << 16)
+    big = reports.joined_agreement(n.selectExpr("1 as k", "'x' as country", "true as cross_script", "'a' as raw", "'a b' as core", "'' as postcode"), n.selectExpr("1 as k", "'a' as raw", "'a c' as core", "'' as postcode"), "k")
+    assert {(r["pairs"], r["raw_equal"], r["core_equal"], round(r["core_jaccard"], 9)) for r in big.collect()} == {(1 << 32, 1.0, 0.0, round(1 / 3, 9))}
