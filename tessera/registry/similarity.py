@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.strings import similarities, similarity, token_jaccard
+from ..functions.strings import similarities, token_jaccard
 from ..operators import features
+from ..operators.pairs import joined_similarities
 from ..storage import spread
 from .base import query, r6, table
 
@@ -24,6 +25,11 @@ def name_pairs(spark, sf_dir):
     return spread(c).join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", F.col("c_name").alias("a"), F.col("s_name").alias("b"))
 
 
+def _name_similarities(spark, sf_dir, kinds):
+    c, s = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation"), table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "nation")
+    return joined_similarities(c, s, "nation", "c_custkey", "s_suppkey", "c_name", "s_name", kinds)
+
+
 def turn_pairs(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", text.plain_text("text").alias("a"))
     return t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
@@ -36,7 +42,7 @@ def levenshtein_pairs(spark, sf_dir):
 
 @query(f"WITH {NAMES} SELECT c_custkey, s_suppkey, round(jaro_winkler_similarity(a, b), 6) AS jw FROM names")
 def jaro_winkler_pairs(spark, sf_dir):
-    return name_pairs(spark, sf_dir).select("c_custkey", "s_suppkey", r6(similarity("jaro_winkler", "a", "b")).alias("jw"))
+    return _name_similarities(spark, sf_dir, ("jaro_winkler",)).withColumnRenamed("jaro_winkler", "jw")
 
 
 _TOK = "list_distinct(list_filter(string_split({c}, ' '), lambda x: x <> ''))"
