@@ -123,7 +123,7 @@ s AS (SELECT *, CASE WHEN far < 1.5 THEN greatest(ratio, 0.95 * greatest(token_s
 @query(f"WITH {NAMES}, {ratios_sql('names', 'c_custkey, s_suppkey')}")
 def ratio_names(spark, sf_dir):
     """Texts of one token and of equal lengths."""
-    return _similarities(name_pairs(spark, sf_dir), ("c_custkey", "s_suppkey"))
+    return _name_similarities(spark, sf_dir, RATIOS)
 
 
 @query(f"WITH parts AS (SELECT a.p_partkey, lower(a.p_name) AS a, lower(b.p_name || ' ' || b.p_type) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1), {ratios_sql('parts', 'p_partkey')}")
