@@ -1,13 +1,15 @@
 """Near-duplicates by the similarity of their texts: Jaccard similarity of the sets of five-word
 shingles of at least 0.8.
 
-The radius that SimHash needs for this is too wide for an index: at similarity 0.8 about 15 % of its
-bits differ, whatever the width, so a segment that is sure to differ in at most one bit has about
-nine bits. So the fingerprint is made of 48 min-hashes, in 8 segments of 6, and indexed as there:
+First SimHash by deletion variants, as in simhash.py but of five-word shingles: fingerprints that differ
+in at most three bits meet. The radius that SimHash needs for 0.8 is too wide for an index: at that
+similarity about 15 % of its bits differ, whatever the width, so a segment that is sure to differ in at
+most one bit has about nine bits. So what is beyond three bits is found by a second fingerprint, made of
+48 min-hashes, in 8 segments of 6, and indexed as there:
 each segment under its variants with one value deleted. Fingerprints that differ in at most 15 of
 48 places agree in a segment up to one value for certain; at similarity 0.8 about 9.6 differ, and
-0.345^8 = 0.02 % of such pairs agree in no segment (fewer above 0.8). Pairs that meet are verified
-on their exact shingles.
+0.345^8 = 0.02 % of such pairs agree in no segment (fewer above 0.8). Pairs that meet by either are
+verified on their exact shingles.
 
 Skew: texts with equal words collapse to one node first. A key's nodes are compared with its least
 and greatest node, so a large group of near copies makes a number of pairs in proportion to its
@@ -33,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import arrow, blobs, dropped, staged
 from .components import connected_components
-from .simhash import LOWER
+from .simhash import LOWER, fingerprint, fingerprint_links
 
 SHINGLE, SEGMENTS, VALUES = 5, 8, 6
 #: Similarity of 4 / 5 at least, in whole numbers.
@@ -111,6 +113,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return arrow(docs.select(F.col("text").cast("string").alias("text")), kernel, "node long, key long")
 
 
+def _fingerprinted(docs: DataFrame) -> DataFrame:
+    """(node, fp): the SimHash of the shingles of each text that has words."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [(n, fingerprint(t, SHINGLE)) for t in blobs(b.column(0)) if (n := node(t))]
+            x = np.array(own, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["node", "fp"])
+
+    return arrow(docs.select(F.col("text").cast("string").alias("text")), kernel, "node long, fp long")
+
+
+def simhash_pairs(docs: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes of equal fingerprints (each with the least) and the least nodes of
+    fingerprints that deletion variants link."""
+    own = staged(_fingerprinted(docs).distinct(), "fingerprints")
+    least = staged(own.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    same = own.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    one, two = (least.select(F.col("fp").alias(u), F.col("least").alias(a)) for u, a in (("u", "x"), ("v", "y")))
+    near = fingerprint_links(least.select("fp")).join(one, "u").join(two, "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    out = staged(same.unionByName(near).distinct(), "simhash-pairs")
+    dropped(own)
+    dropped(least)
+    return out
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, mine = None, set()
     for b in batches:
@@ -186,14 +214,16 @@ def prefix_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """(node, root): one row for each node of docs (text) that is similar to another; nodes share
-    a root exactly if links of similarity 0.8 that the index meets connect them."""
+    a root exactly if links of similarity 0.8 that the indexes meet connect them."""
+    close = simhash_pairs(docs)
     keyed = staged(_keyed(docs).distinct(), "keys")
     met = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = staged(keyed.join(met, "key"), "members")
     dropped(keyed)
     ends = members.select(F.explode(F.array("lo", "hi")).alias("end"), "node").where("end <> node")
-    pairs = staged(ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct(), "pairs")
-    asked = members.select("node").distinct()
+    ends = ends.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b"))
+    pairs = staged(ends.unionByName(close).distinct(), "pairs")
+    asked = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = marked(docs.select(F.col("text").cast("string").alias("text")), "node").groupBy("node").agg(F.min("text").alias("text"))
     texts = staged(texts.join(asked, "node", "left_semi"), "texts")
     links = staged(_links(pairs, texts), "links")
@@ -212,6 +242,6 @@ def components(docs: DataFrame) -> DataFrame:
     more = staged(linked.unionByName(_links(rest, texts)), "links")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), "a", "b")
-    for x in (members, pairs, texts, links, left, first, hubs, linked, wider, rest, more):
+    for x in (close, members, pairs, texts, links, left, first, hubs, linked, wider, rest, more):
         dropped(x)
     return roots

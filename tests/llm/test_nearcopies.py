@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tessera.llm import nearcopies
+from tessera.llm.simhash import fingerprint
 
 from .test_kernels import connected
 
@@ -74,3 +75,21 @@ def test_rows_of_one_id_in_different_groups_stay(spark):
     rows = [(None, first, "en"), (None, second, "en"), (None, second, "de"), (7, third, "en"), (7, first + " end", "en"), (7, "other words", "en"), (8, "other words", "en")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", second), ("7", third), ("7", first + " end"), ("7", "other words")])
+
+
+def test_simhash_by_deletion_variants_links_by_itself(spark, monkeypatch):
+    rows = [t for t in texts() if t and t.strip()]
+    names = {nearcopies.node(t.encode()): t for t in rows}
+    prints = {n: fingerprint(t.encode(), nearcopies.SHINGLE) for n, t in names.items()}
+    order = list(names)
+    near = [(i, j) for i in range(len(order)) for j in range(i) if (prints[order[i]] ^ prints[order[j]]).bit_count() <= 3]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], SCHEMA)
+    place = {n - (1 << 64) if n >> 63 else n: i for i, n in enumerate(order)}
+    got = [(place[r["a"]], place[r["b"]]) for r in nearcopies.simhash_pairs(docs).collect()]
+    groups = [connected(len(order), links) for links in (got, near)]
+    assert near and len(set(zip(*groups, strict=True))) == len(set(groups[0])) == len(set(groups[1]))
+    monkeypatch.setattr(nearcopies, "_keyed", lambda docs: spark.createDataFrame([], "node long, key long"))
+    true = [(i, j) for i, j in got if similar(names[order[i]], names[order[j]])]
+    roots = {r["node"]: r["root"] for r in nearcopies.components(docs).collect()}
+    assert true and all(roots[a - (1 << 64) if a >> 63 else a] == roots[b - (1 << 64) if b >> 63 else b] for a, b in ((order[i], order[j]) for i, j in true))
+    assert len(roots) == len({i for p in true for i in p})
