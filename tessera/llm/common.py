@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,39 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, dropped, new_path, shared_folder, staged
+from ..storage import arrow, delete, dropped, give_back, new_path, shared_folder, staged
 
-__all__ = ["arrow", "blobs", "delete", "dropped", "fold", "new_path", "runs", "share", "shared_folder", "spanning", "staged", "starts_of", "table"]
+__all__ = ["arrow", "blobs", "delete", "dropped", "fold", "give_back", "new_path", "runs", "share", "shared_folder", "spanning", "staged", "starts_of", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in bytes as well as rows (8 MB where the session has no
-    bound of its own), so that long texts cannot fill a worker."""
-    conf = df.sparkSession.conf
-    if int(conf.get(BATCH_BYTES, str(2**31 - 1))) >= 2**31 - 1:
-        conf.set(BATCH_BYTES, str(8 << 20))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from kernel(batches)
-        give_back()
-
-    return df.mapInArrow(run, schema)
-
-
-def give_back() -> None:
-    """Return a worker's freed memory to the system: workers outlive their tasks, and an executor's
-    bound counts what they keep."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

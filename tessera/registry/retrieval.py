@@ -74,7 +74,8 @@ def tfidf_filtered_pool(spark, sf_dir):
 
 @query(f"{HEAD}{block_sql(blocks.ADDR_WORDS, 's1', 'pool', 'b', PAIRS)} SELECT * FROM b")
 def tfidf_addr_bigram_topk(spark, sf_dir):
-    return tfidf.top_k(*split(prepared(spark, sf_dir)), blocks.ADDR_WORDS)
+    views = prepared(spark, sf_dir).select("entity_id", "country", "addr")
+    return tfidf.top_k(*split(staged(views, "views", compression="zstd")), blocks.ADDR_WORDS)
 
 
 PART_VIEWS = """prepared AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'S1-' ELSE 'S2-' END || p_partkey AS entity_id, p_brand AS country,

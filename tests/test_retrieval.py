@@ -82,3 +82,35 @@ def test_plan_prunes_and_limits(spark, tmp_path):
     p = spark.read.parquet(str(tmp_path / "t"))
     plan = tfidf.top_k(p.where(blocks.is_source(1)), p.where(~blocks.is_source(1)), Block("w", "text", 2, 0.5))._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "unused" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_vectors_travel_once(spark, monkeypatch):
+    """A vector is written once, however many blocks the other side has, and equal ones together."""
+    rows = [(f"S{1 + i % 2}-{i}", " ".join(f"w{(i * j) % 11}" for j in (1, 2, 3)) if i < 60 else "w1 w2", "en") for i in range(100)]
+    monkeypatch.setattr(tfidf, "CHUNK", 16)
+    monkeypatch.setattr(tfidf, "GROUP", 16)
+    tables = {}
+
+    def staged(df, name, *args, **options):
+        tables[name] = write(df, name, *args, **options)
+        return tables[name]
+
+    write = tfidf.staged
+    monkeypatch.setattr(tfidf, "staged", staged)
+    d = spark.createDataFrame(rows, "entity_id string, text string, country string")
+    b = Block("w", "text", 4, 1.0, min_df=1)
+    out = tfidf.top_k(d.where(blocks.is_source(1)), d.where(~blocks.is_source(1)), b)
+    assert "explode" not in out._jdf.queryExecution().toString()
+    got = {(r["q_id"], r["p_id"]): (r["score"], r["rank"]) for r in out.collect()}
+    want = brute([r for r in rows if r[0][1] == "1"], [r for r in rows if r[0][1] != "1"], b)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-6 and got[k][1] == want[k][1] for k in want)
+    pool = {tuple(sorted(Counter(t.split()).items())) for i, t, _ in rows if i[1] == "2"}
+    assert tables["pool"].count() == len(pool) and len(tables["pool"].inputFiles()) > 1
+    assert tables["pool"].agg(F.max(F.size("ids"))).first()[0] == 4
+
+
+def test_ids_of_several_rows(spark):
+    """Rows of one id are one text, as in the SQL."""
+    d = spark.createDataFrame([("S1-1", "a b", "x"), ("S1-1", "a", "x"), ("S2-1", "a", "x"), ("S2-1", "b c", "x"), ("S2-2", "a c", "x")], "entity_id string, text string, country string")
+    out = tfidf.top_k(d.where(blocks.is_source(1)), d.where(~blocks.is_source(1)), Block("w", "text", 5, 1.0, min_df=1))
+    assert [(r["q_id"], r["p_id"], r["rank"]) for r in out.orderBy("rank").collect()] == [("S1-1", "S2-1", 1), ("S1-1", "S2-2", 2)]
