@@ -146,6 +146,28 @@ def test_link_end_to_end(spark):
     assert metrics.macro_f05(out, t).first()["macro_f05"] > 0.9
 
 
+def test_equal_records_are_worked_on_once(spark, monkeypatch):
+    rows, want = [], []
+    for i in range(12):
+        rows += [(f"S1-{i}.{j}", f"Shop{i} Alpha{i} Traders", f"{i + 10} Road{i}, Town{i % 5}", "us") for j in range(8)]
+        rows += [(f"S2-{i}", f"Shop{i} Alpha{i} Trader", f"{i + 10} Road{i}, Town{i % 5}", "us"), (f"S3-{i}", f"Other{i} Beta{i % 3} Traders", f"{i + 50} Lane{i}, Town{i % 5}", None if i == 3 else "us")]
+        want += [(f"S1-{i}.{j}", [f"S2-{i}"]) for j in range(7)]
+    tables = {}
+    write = linkage.staged
+    monkeypatch.setattr(linkage, "staged", lambda df, name, *args, **options: tables.setdefault(name, write(df, name, *args, **options)))
+    d = spark.createDataFrame(rows, "entity_id string, name string, address string, country string")
+    t = spark.createDataFrame(want, "s1_id string, matched_ids array<string>")
+    final = linkage.final_candidates(d, t, rounds=1, depth=2)
+    pairs = tables["labelled"]
+    # At most two halves of those with a truth, and the one without.
+    assert pairs.select("s1_id").distinct().count() <= 12 * 4
+    assert pairs.select("s1_id", "n").distinct().agg(F.sum("n")).first()[0] == 12 * 8
+    got = final.candidates.groupBy("s1_id").agg(F.sum("y").alias("y"), F.countDistinct("cand_id").alias("n"), F.count("*").alias("all")).collect()
+    assert len(got) == 12 * 8 and all(r["n"] == r["all"] for r in got)
+    lists = {(r["s1_id"], r["cand_id"]): r["name_ratio"] for r in final.candidates.select("s1_id", "cand_id", "name_ratio").collect()}
+    assert all(lists[f"S1-{i}.{j}", f"S2-{i}"] == lists[f"S1-{i}.0", f"S2-{i}"] for i in range(12) for j in range(8))
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "s.tsv"
     p.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"Joe\'s" "Diner\t\tUS\nS1-2\t NA \tx\t\n')
