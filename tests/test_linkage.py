@@ -168,6 +168,22 @@ def test_equal_records_are_worked_on_once(spark, monkeypatch):
     assert all(lists[f"S1-{i}.{j}", f"S2-{i}"] == lists[f"S1-{i}.0", f"S2-{i}"] for i in range(12) for j in range(8))
 
 
+def test_equal_texts_are_worked_on_once(spark):
+    cols = "entity_id string, name string, address string, country string"
+    again = [(f"{i}.{j}", *rest) for j in range(3) for i, *rest in RECORDS]
+    odd = [("S2-8", "", None, "india"), ("S2-9", None, "", "india"), ("S3-8", "Acme Trading", "", None), ("S1-8", "Acme Trading", "", None)]
+    d = spark.createDataFrame(RECORDS + again + odd, cols)
+    ids, texts = linkage.same_texts(d)
+    assert ids.count() == len(RECORDS) * 4 + 4 and texts.count() == len(RECORDS) + 4
+    as_set = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
+    assert as_set(linkage.for_all(texts, ids)) == as_set(d)
+    match, fields = linkage.match_table(d), linkage.match_table(texts)
+    assert as_set(linkage.for_all(fields, ids)) == as_set(match)
+    want = linkage.pair_table(d, linkage.PRESETS["v1"], match)
+    got = linkage.pair_table(d, linkage.PRESETS["v1"], match, features.Alike(ids, fields))
+    assert got.columns == want.columns and want.count() and as_set(got) == as_set(want)
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "s.tsv"
     p.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"Joe\'s" "Diner\t\tUS\nS1-2\t NA \tx\t\n')
